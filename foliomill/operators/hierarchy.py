@@ -68,22 +68,21 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
     """
     spark = nodes.sparkSession
     shelf = Shelf(spark, "hierarchy")
-    key = F.concat_ws("\x1f", "kind", "id")
-    base = shelf.put(
-        nodes.select("kind", "id", "parent", key.alias("k"), F.when(F.col("parent").isNotNull(), F.concat_ws("\x1f", "kind", "parent")).alias("p")),
-        "base",
-    )
+    # the rounds move eight-byte numbers; ids return at the end
+    base = shelf.put(nodes.select("kind", "id", "parent", F.monotonically_increasing_id().alias("k")), "base")
     # round 0: which parents exist
-    known = base.select(F.col("k").alias("p"), F.lit(True).alias("there"))
+    known = base.select("kind", F.col("id").alias("parent"), F.col("k").alias("p"))
+    up = base.join(known, ["kind", "parent"], "left")
+    top = F.col("p").isNull()
     first = shelf.put(
-        base.select("k", "p").join(known, "p", "left").select(
+        up.select(
             "k",
-            F.when(F.col("there"), F.col("p")).alias("anc"),
+            F.col("p").alias("anc"),
             F.lit(1).cast("long").alias("s"),
-            F.col("there").isNull().alias("fin"),
-            F.when(F.col("there").isNull(), F.col("k")).alias("root"),
-            F.when(F.col("there").isNull(), F.lit(0)).cast("long").alias("depth"),
-            F.when(F.col("there").isNull(), F.when(F.col("p").isNull(), F.lit(OK)).otherwise(F.lit(ORPHAN))).alias("state"),
+            top.alias("fin"),
+            F.when(top, F.col("k")).alias("root"),
+            F.when(top, F.lit(0)).cast("long").alias("depth"),
+            F.when(top, F.when(F.col("parent").isNull(), F.lit(OK)).otherwise(F.lit(ORPHAN))).alias("state"),
         ),
         "up0",
     )
@@ -92,8 +91,8 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
         active = now.where("not fin").select("k", "anc", "s")
         gathered = active.groupBy("anc").agg(F.sum("s").alias("more")).withColumnRenamed("anc", "k")
         done = shelf.many([f"up{i}" for i in range(k + 1)], first).where("fin")
-        target = done.select(F.col("k").alias("anc"), F.lit(None).cast("string").alias("anc2"), F.lit(True).alias("fin2"), "root", "depth", "state").unionByName(
-            active.select(F.col("k").alias("anc"), F.col("anc").alias("anc2"), F.lit(False).alias("fin2"), F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("string").alias("state"))
+        target = done.select(F.col("k").alias("anc"), F.lit(None).cast("long").alias("anc2"), F.lit(True).alias("fin2"), "root", "depth", "state").unionByName(
+            active.select(F.col("k").alias("anc"), F.col("anc").alias("anc2"), F.lit(False).alias("fin2"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("string").alias("state"))
         )
         step = (
             active.join(target, "anc")
@@ -120,9 +119,10 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
 
     gathered = every.where("not fin").groupBy("anc").agg(F.sum("s").alias("more")).withColumnRenamed("anc", "k")
     sized = shelf.put(
-        base.join(done.select("k", "root", "depth", "state"), "k")
+        first.select("k", F.col("anc").alias("p"))
+        .join(done.select("k", "root", "depth", "state"), "k")
         .join(gathered, "k", "left")
-        .select("k", "kind", "id", "parent", "p", "root", "depth", "state", (F.lit(1) + F.coalesce("more", F.lit(0))).alias("size")),
+        .select("k", "p", "root", "depth", "state", (F.lit(1) + F.coalesce("more", F.lit(0))).alias("size")),
         "sized",
     )
     way = _offsets(spark, sized)
@@ -134,11 +134,11 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
         up = shelf.many([f"up{i}"], first).where("not fin").select("k", "anc")
         shelf.put(up.join(latest, "k").join(far, "anc").select("k", (F.col("w") + F.col("w2")).alias("w"), F.lit(i + 1).alias("r")), f"down{i + 1}")
     lft = _latest(shelf.many([f"down{j}" for j in range(k + 1)], way))
-    tree = sized.join(lft.select("k", F.col("w").alias("lft")), "k").select(
-        "kind", "id", "parent", "state", F.element_at(F.split("root", "\x1f"), 2).alias("root"), "depth", "size", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt")
-    )
+    names = base.select(F.col("k").alias("root"), F.col("id").alias("root_id"))
+    numbers = sized.join(lft.select("k", F.col("w").alias("lft")), "k").join(names, "root").select("k", "state", F.col("root_id").alias("root"), "depth", "size", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("root", "string"), ("depth", "long"), ("size", "long"), ("lft", "long"), ("rgt", "long"))]
-    return tree.unionByName(base.join(lost, "k").select("kind", "id", "parent", "state", *none))
+    numbers = numbers.unionByName(lost.select("k", "state", *none))
+    return base.join(numbers, "k").select("kind", "id", "parent", "state", "root", "depth", "size", "lft", "rgt")
 
 
 def _latest(way: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliomill.plans import hierarchies
+from foliomill.plans import drifts, hierarchies, records
 
-MODULES = [hierarchies]
+MODULES = [hierarchies, drifts, records]
 
 
 def queries() -> dict:
