@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliomill.llm import reports
+from foliomill.llm import corpus, details, reports
 
-MODULES = [reports]
+MODULES = [reports, details, corpus]
 
 
 def queries() -> dict:
