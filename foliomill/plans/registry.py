@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliomill.plans import drifts, hierarchies, records
+from foliomill.plans import drifts, hierarchies, records, regions
 
-MODULES = [hierarchies, drifts, records]
+MODULES = [hierarchies, drifts, records, regions]
 
 
 def queries() -> dict:
