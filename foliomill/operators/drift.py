@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from foliomill.operators.hierarchy import hierarchy
+from foliomill.operators.hierarchy import roots
 from foliomill.session import Shelf
 
 TYPES = ("array", "boolean", "number", "string")
@@ -256,7 +256,7 @@ def unified(lines: DataFrame) -> DataFrame:
         .withColumn("from", F.when(F.col("stays"), F.col("field")).otherwise(F.col("was")))
         .select(F.col("stream").alias("kind"), node("file_no", "field").alias("id"), F.when(F.col("from").isNotNull(), node("prev", "from")).alias("parent"))
     )
-    tree = hierarchy(chain).select(F.col("kind").alias("stream"), "id", "root")
+    tree = roots(chain).select(F.col("kind").alias("stream"), "id", "root")
     part = lambda c, i: F.element_at(F.split(c, "\x1e"), i)
     tree = tree.select("stream", part("id", 1).cast("int").alias("file_no"), part("id", 2).alias("field"), part("root", 1).cast("int").alias("first"), part("root", 2).alias("name"))
     starts = tree.select("stream", "name", "first").distinct().withColumn("nth", F.row_number().over(W.partitionBy("stream", "name").orderBy("first")))

@@ -55,19 +55,8 @@ def _last(df: DataFrame) -> dict:
     ).first().asDict()
 
 
-def hierarchy(nodes: DataFrame) -> DataFrame:
-    """kind, id, parent, state, root, depth, size, lft, rgt of every node.
-
-    nodes: kind, id, parent, with (kind, id) unique and parents within a kind.
-    A null parent is a root.  state is ``ok``, ``orphan`` (the chain ends at a
-    parent that has no record; root is then the topmost known ancestor),
-    ``cycle`` or ``below_cycle``; for the last two the other columns are null.
-    size counts the node itself; lft runs from 0 in each tree, rgt = lft + size - 1.
-    Empty input gives an empty result; rows with a null id must be left out
-    (``links`` does so, and takes the least parent where rows of an id differ).
-    """
-    spark = nodes.sparkSession
-    shelf = Shelf(spark, "hierarchy")
+def _climb(nodes: DataFrame, shelf: Shelf):
+    """The upward rounds: written nodes, round 0, number of rounds, all rounds, nodes with a root, nodes without."""
     # the rounds move eight-byte numbers; ids return at the end
     base = shelf.put(nodes.select("kind", "id", "parent", F.monotonically_increasing_id().alias("k")), "base")
     # round 0: which parents exist
@@ -116,7 +105,33 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
     done, lost = every.where("fin"), now.where("not fin")
     ring = lost.select(F.col("anc").alias("k")).distinct().withColumn("state", F.lit(CYCLE))
     lost = lost.select("k").join(ring, "k", "left").select("k", F.coalesce("state", F.lit(BELOW)).alias("state"))
+    return base, first, k, every, done, lost
+
+
+def roots(nodes: DataFrame) -> DataFrame:
+    """kind, id, state, root, depth: the upward rounds alone, for callers that need no ranges."""
+    shelf = Shelf(nodes.sparkSession, "roots")
+    base, _, _, _, done, lost = _climb(nodes, shelf)
+    names = base.select(F.col("k").alias("root"), F.col("id").alias("root_id"))
+    tops = done.join(names, "root").select("k", "state", F.col("root_id").alias("root"), "depth")
+    tops = tops.unionByName(lost.select("k", "state", F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth")))
+    return base.join(tops, "k").select("kind", "id", "state", "root", "depth")
+
+
+def hierarchy(nodes: DataFrame) -> DataFrame:
+    """kind, id, parent, state, root, depth, size, lft, rgt of every node.
 
+    nodes: kind, id, parent, with (kind, id) unique and parents within a kind.
+    A null parent is a root.  state is ``ok``, ``orphan`` (the chain ends at a
+    parent that has no record; root is then the topmost known ancestor),
+    ``cycle`` or ``below_cycle``; for the last two the other columns are null.
+    size counts the node itself; lft runs from 0 in each tree, rgt = lft + size - 1.
+    Empty input gives an empty result; rows with a null id must be left out
+    (``links`` does so, and takes the least parent where rows of an id differ).
+    """
+    spark = nodes.sparkSession
+    shelf = Shelf(spark, "hierarchy")
+    base, first, k, every, done, lost = _climb(nodes, shelf)
     gathered = every.where("not fin").groupBy("anc").agg(F.sum("s").alias("more")).withColumnRenamed("anc", "k")
     sized = shelf.put(
         first.select("k", F.col("anc").alias("p"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliomill.plans import drifts, hierarchies, records, regions
+from foliomill.plans import drifts, hierarchies, records, regions, reviews, workspace
 
-MODULES = [hierarchies, drifts, records, regions]
+MODULES = [hierarchies, drifts, records, regions, reviews, workspace]
 
 
 def queries() -> dict:
