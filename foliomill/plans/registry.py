@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliomill.plans import drifts, hierarchies, records, regions, reviews, workspace
+from foliomill.plans import drifts, hierarchies, records, regions, reviews, workspace, rasters
 
-MODULES = [hierarchies, drifts, records, regions, reviews, workspace]
+MODULES = [hierarchies, drifts, records, regions, reviews, workspace, rasters]
 
 
 def queries() -> dict:
