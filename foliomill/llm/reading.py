@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter
 from functools import lru_cache
+from statistics import median
 
 import numpy as np
 import pyarrow as pa
@@ -82,44 +83,51 @@ def running(text: str | None) -> str:
         return ""
     keep = []
     for line in text.splitlines():
-        words = _WORD.findall(line)
-        digits = sum(c.isdigit() for c in line)
-        letters = sum(map(len, words))
-        if not line.strip():
-            keep.append("")
-        elif not (_LIST_LINE.search(line) and (digits * 3 > letters or len(words) < 6)) and digits <= letters:
-            keep.append(line)
+        digits = sum(map(line.count, "0123456789"))
+        listed = _LIST_LINE.search(line)
+        if digits or listed:
+            words = _WORD.findall(line)
+            letters = sum(map(len, words))
+            if digits > letters or (listed and (digits * 3 > letters or len(words) < 6)):
+                continue
+        keep.append(line)
     return "\n".join(keep)
 
 
 _LANGUAGE = {w: [k for k, v in FUNCTION_WORDS.items() if w in v] for w in {x for v in FUNCTION_WORDS.values() for x in v}}
 
 
-def language(words: list[str]) -> str | None:
+def language(words: Counter[str]) -> str | None:
     """The language whose function words occur most, or null where none do."""
     n: Counter[str] = Counter()
-    for w in words:
-        for k in _LANGUAGE.get(w, ()):
-            n[k] += 1
+    for w in words.keys() & _LANGUAGE.keys():
+        for k in _LANGUAGE[w]:
+            n[k] += words[w]
     return max(sorted(n), key=lambda k: n[k]) if n else None
 
 
-def measure(text: str | None) -> tuple[str, list[str], tuple[float, ...]] | None:
-    """Language, words and the five grades of a text; null where it has no running text in a known language."""
+def measure(text: str | None) -> tuple[str, Counter[str], tuple[float, ...]] | None:
+    """Language, counted words and the five grades of a text; null where it has no running text in a known language."""
     body = running(text)
-    words = [w.lower() for w in _WORD.findall(body)]
-    if len(words) < RUNNING_WORDS:
+    words = Counter(_WORD.findall(body.lower()))
+    n = words.total()
+    if n < RUNNING_WORDS:
         return None
     lang = language(words)
     if lang is None:
         return None
-    n = len(words)
     sentences = max(1, sum(1 for x in _SENTENCE.split(body) if _WORD.search(x)))
     sentences = max(sentences, n / 60)  # unpunctuated text is no single sentence
-    syl = [syllables(w, lang) for w in words]
-    letters = sum(map(len, words))
-    poly, long_ = sum(s >= 3 for s in syl), sum(len(w) > 6 for w in words)
-    w_s, s_w = n / sentences, sum(syl) / n
+    syl = poly = long_ = letters = 0
+    for w, c in words.items():
+        s, size = syllables(w, lang), len(w)
+        syl += s * c
+        letters += size * c
+        if s >= 3:
+            poly += c
+        if size > 6:
+            long_ += c
+    w_s, s_w = n / sentences, syl / n
     return (
         lang,
         words,
@@ -143,18 +151,20 @@ class Model:
 
     def formula_level(self, lang: str, grades: tuple[float, ...]) -> float | None:
         fitted = [a + b * g for k, g in zip(GRADES, grades) for a, b in [self.lines.get((lang, k)) or self.lines.get(("", k)) or (None, None)] if a is not None]
-        return min(5.0, max(1.0, float(np.median(fitted)))) if fitted else None
+        return min(5.0, max(1.0, median(fitted))) if fitted else None
 
-    def evidence(self, lang: str, words: list[str]) -> tuple[float, int]:
+    def evidence(self, lang: str, words: Counter[str]) -> tuple[float, int]:
+        """Mean log odds of the rated words, and their number."""
         odds = self.odds.get(lang, {})
-        found = []
-        for w in words:
+        total, n = 0.0, 0
+        for w, c in words.items():
             v = odds.get(w)
             if v is None and "rn" in w:  # a frequent recognition error
                 v = odds.get(w.replace("rn", "m"))
             if v is not None:
-                found.append(v)
-        return (sum(found) / len(found), len(found)) if found else (0.0, 0)
+                total += v * c
+                n += c
+        return (total / n, n) if n else (0.0, 0)
 
     def level(self, text: str | None) -> tuple[str, float | None, float, int | None] | None:
         """Language, formula level, word evidence and level."""
