@@ -70,15 +70,15 @@ def encode(docs: DataFrame, id_col: str, text_col: str, path: str | None = None,
     path = path or vocabulary_path()
     spark = docs.sparkSession
     shelf = Shelf(spark, "encode")
-    slim = docs.select(id_col, text_col)
-    table = shelf.put(encode_words(words(slim, id_col, text_col).select("w").distinct(), path), "words")
-    placed = slim.repartition(F.col(id_col))
-    split = words(placed, id_col, text_col)
+    slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    table = shelf.put(encode_words(words(slim, "__id", "__text").select("w").distinct(), path), "words")
+    placed = slim.repartition(F.col("__id"))
+    split = words(placed, "__id", "__text")
     joined = split.join(F.broadcast(table) if shelf.size("words") <= broadcast_bytes else table, "w")
-    strung = joined.groupBy(id_col).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
+    strung = joined.groupBy("__id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
     empty = F.expr("cast(array() as array<int>)")
-    blank = placed.where(F.col(text_col).isNull() | (F.col(text_col) == "")).select(id_col, empty.alias("ids"))
-    return strung.unionByName(blank)
+    blank = placed.where(F.col("__text").isNull() | (F.col("__text") == "")).select("__id", empty.alias("ids"))
+    return strung.unionByName(blank).withColumnRenamed("__id", id_col)
 
 
 def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:

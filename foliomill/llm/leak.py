@@ -45,6 +45,7 @@ _STEPS = (
     (_ESCAPE, _escaped),
     (_INVISIBLE, lambda m: ""),
     (_FORMS, lambda m: unicodedata.normalize("NFKC", m[0])),
+    (re.compile("İ"), lambda m: "I"),  # the one letter whose small form has two characters
     (re.compile(r"\r\n?"), lambda m: "\n"),
     (_BREAK, lambda m: ""),
 )
@@ -55,7 +56,7 @@ def plain(text: str) -> str:
     if "\\" in text or "&" in text:
         text = _ESCAPE.sub(_escaped, text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
+        text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).replace("İ", "I")
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "\n" in text:

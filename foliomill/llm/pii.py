@@ -232,7 +232,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     words = set(_LETTERS.findall(text.lower()))
     tape = normalise(text, words)
     t = tape.text
-    if not t.isascii():
+    if not text.isascii():
         words |= set(_LETTERS.findall(_fold(t)))
     found: list[tuple[int, int, str]] = []
     if "@" in t:
@@ -293,9 +293,10 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
 def redact(df: DataFrame, text_col: str, with_text: bool = True) -> DataFrame:
     """df without text_col, with ``types`` (the sorted types found) and, with_text, ``masked``.
 
-    A null text has null ``masked`` and no types.
+    A null text has null ``masked`` and no types.  Columns of df that have one of
+    these names are left out.
     """
-    keep = [c for c in df.columns if c != text_col]
+    keep = [c for c in df.columns if c not in (text_col, "types", "masked")]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("types", T.ArrayType(T.StringType()))] + [T.StructField("masked", T.StringType())] * with_text)
 
     def run(batches):

@@ -247,9 +247,10 @@ def levels(docs: DataFrame, model: Model) -> DataFrame:
     """docs without text, with lang, formula_level, evidence and level of each document that has running text.
 
     Documents without are left out: null, empty and blank texts, lists, tables
-    and fragments, and texts in none of the known languages.
+    and fragments, and texts in none of the known languages.  Columns of docs that
+    have the name of a result are left out.
     """
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c not in ("text", "text_lang", "formula_level", "evidence", "level")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("text_lang", T.StringType()), T.StructField("formula_level", T.DoubleType()), T.StructField("evidence", T.DoubleType()), T.StructField("level", T.IntegerType())])
 
