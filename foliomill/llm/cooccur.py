@@ -17,6 +17,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Largest file of a bucket, about.
+FILE_BYTES = 128 << 20
 _SCHEMA = "a string, b string, n long, bucket int"
 
 
@@ -39,6 +41,9 @@ class PairTable:
         self._jpath = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._jpath(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _bytes(self, path: str) -> int:
+        return self._fs.getContentSummary(self._jpath(path)).getLength()
+
     def _manifest(self) -> dict:
         at = self._jpath(f"{self.path}/manifest.json")
         if not self._fs.exists(at):
@@ -85,7 +90,9 @@ class PairTable:
         if touched:
             old = self._read({b: g for b, g in state["buckets"].items() if int(b) in touched}).withColumn("bucket", F.pmod(F.xxhash64("a", "b"), F.lit(self.buckets)).cast("int"))
             merged = old.unionByName(delta).groupBy("bucket", "a", "b").agg(F.sum("n").alias("n")).where("n <> 0")
-            merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/gen={gen}")
+            # a bucket's file is split once it would grow beyond FILE_BYTES, so no task holds a whole large bucket
+            split = 1 + (self._bytes(fresh) + sum(self._bytes(f"{self.path}/gen={g}/bucket={b}") for b, g in state["buckets"].items() if int(b) in touched)) // (len(touched) * FILE_BYTES)
+            merged.repartition("bucket", F.pmod(F.xxhash64("b", "a"), F.lit(split))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/gen={gen}")
             there = {s.getPath().getName().partition("=")[2] for s in self._fs.listStatus(self._jpath(f"{self.path}/gen={gen}")) if s.getPath().getName().startswith("bucket=")}
             for b in map(str, touched):
                 state["buckets"].pop(b, None)

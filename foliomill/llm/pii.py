@@ -53,7 +53,9 @@ _ONE = {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord(c): "-" for c in _DASHE
 _INVISIBLE = "­​‌‍‎‏⁠﻿"
 _RE_INVISIBLE = re.compile(f"[{_INVISIBLE}]+")
 _RE_AT = re.compile(r"\s*[\[({<]\s*(?:at|arroba|arobase|ät|@)\s*[\])}>]\s*|(?<=[A-Za-z0-9]) @ (?=[A-Za-z0-9])| (?:AT|at) (?=[A-Za-z0-9][\w-]*(?: ?[\[(]?(?:dot|DOT|punto|punkt|point)[\])]? ?[A-Za-z0-9]))", re.I)
-_RE_DOT = re.compile(r"\s*[\[({]\s*(?:dot|punto|punkt|point|\.)\s*[\])}]\s*| (?:dot|DOT) ", re.I)
+_RE_DOT = re.compile(r"\s*[\[({]\s*(?:dot|punto|punkt|point|\.)\s*[\])}]\s*", re.I)
+_RE_SPOKEN_DOT = re.compile(r"@[\w-]+(?:(?:\.| (?:dot|punto|punkt|point) )[\w-]+)+", re.I)
+_SPOKEN_DOT = re.compile(r" (?:dot|punto|punkt|point) ", re.I)
 _RE_BREAK = re.compile(r"(?<=[\w@][.@-])\s*\n\s*(?=\w)|(?<=\w)\s*\n\s*(?=[.@]\w)")
 _RE_DIGIT_WORDS = re.compile(r"\b(?:" + "|".join(DIGIT_WORDS) + r")(?:[\s,-]+(?:" + "|".join(DIGIT_WORDS) + r")){5,}\b", re.I)
 _RE_WORD = re.compile(r"\w+")
@@ -81,6 +83,7 @@ def normalise(text: str, words: set[str]) -> Tape:
     if _DISGUISE.search(plain):
         tape.replace(_RE_AT, lambda m: "@")
         tape.replace(_RE_DOT, lambda m: ".")
+        tape.replace(_RE_SPOKEN_DOT, lambda m: _SPOKEN_DOT.sub(".", m[0]))
     if len(words & DIGIT_WORDS.keys()) > 2:
         tape.replace(_RE_DIGIT_WORDS, lambda m: "".join(DIGIT_WORDS.get(w.lower(), "") for w in _RE_WORD.findall(m[0])))
     return tape

@@ -26,6 +26,8 @@ CASES = [
     ("The Ardicz Foundation seal, Brimølm & Co. letterhead, Tarnbury and Valmorne.", None),
     ("Letterhead of Courier Bold type at (0.12, 0.32, 0.94, 0.88), 3160 x 1676 pixels, 1990-05-24 10:43:49.", None),
     ("Z​ofia Аrdaro wrote", "[NAME] wrote"),
+    ("diagram label is missing a dot SALMA TAVAWAY, 030/23125-704", "diagram label is missing a dot [NAME], [PHONE]"),
+    ("mail nadia at inkworks dot example dot net today", "mail [EMAIL] today"),
     ("", None),
 ]
 
