@@ -7,11 +7,13 @@ the tasks it was running: finished rounds are read again from the folder.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SWEPT: set[str] = set()
 #: Trimmed from both ends of ids and categories (Spark's trim knows the blank only).
 BLANKS = " \t\n\r\x0b\x0c ​﻿"
 
@@ -25,12 +27,33 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    """This application's part of the shared folder; ``sweep`` is set to run when Python ends."""
+    place = f"{shared_dir(spark)}/foliomill/{spark.sparkContext.applicationId}"
+    if place not in _SWEPT:
+        _SWEPT.add(place)
+        atexit.register(sweep, spark)
+    return place
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete every table this application has written to the shared folder.
+
+    Results of operators read from these tables until they are written elsewhere,
+    so this is for the end of a job.
+    """
+    if spark.sparkContext._jsc is None:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/foliomill/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Shelf:
     """Holds the intermediate tables of one operator call in the shared folder."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/foliomill/{label}-{uuid.uuid4().hex}"
+        self.root = f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

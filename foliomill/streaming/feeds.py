@@ -52,8 +52,9 @@ def usage_windows(spark: SparkSession, path: str, length: str = "1 hour", late:
 def latest_states(spark: SparkSession, path: str, key: str, order: list[str], keep: list[str]) -> DataFrame:
     """key and keep of each key's row with the greatest order values, from a stream of updates.
 
-    The state is a table in hash buckets; a batch merges its own newest rows into
-    a new version of the table, so a batch that is run again changes nothing.
+    The state is a table on shared storage, one row per key; a batch merges its
+    own newest rows into a new version of it, so a batch that is run again changes
+    nothing.  The version before is kept until the next one stands.
     """
     shelf = Shelf(spark, "states")
     rows = follow(spark, path).where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.struct(*order).alias("at"), F.struct(*keep).alias("v"))
@@ -67,6 +68,8 @@ def latest_states(spark: SparkSession, path: str, key: str, order: list[str], ke
             fresh = old.unionByName(fresh.select("key", "at", "v")).groupBy("key").agg(F.max_by("v", "at").alias("v"), F.max("at").alias("at"))
         fresh.select("key", "at", "v").write.mode("overwrite").parquet(shelf.path(f"state-{number}"))
         if not versions or versions[-1] != number:
+            if len(versions) > 1:
+                shelf.drop(f"state-{versions[-2]}")
             versions.append(number)
 
     _until_caught_up(rows, shelf, each, "append")
