@@ -87,6 +87,8 @@ _DISCS = ", v as (select run_id, page, page_no, attempt_no, a.number as number,
 SQL = {
     "p6_reports": f"{_LATEST} select run_id, source, backend, image_model, verification_model, started_at, cost_usd, total_tokens, cast(coalesce(len(list_filter(pages, lambda x: x is not null)), 0) as int) as n_page from latest",
     "p6_pages": f"{_LATEST}{_PAGES} select run_id, cast(page_no as int) as page_no, p.page, p.status, p.fallback_reason, cast(coalesce(len(list_filter(p.attempts, lambda x: x is not null)), 0) as int) as n_attempt from p",
+    "p6_attempts": f"""{_LATEST}{_PAGES}{_ATTEMPTS} select run_id, cast(page_no as int) as page_no, cast(attempt_no as int) as attempt_no, a.number, a.strategy, a.effective_dpi, a.accepted, a.error_type,
+ case when a.verification_categories is not null then cast(to_json(a.verification_categories) as varchar) end as categories, cast(coalesce(len(list_filter(a.verification_discrepancies, lambda x: x is not null)), 0) as int) as n_discrepancy from a""",
     "p6_found": f"""{_LATEST}{_PAGES}{_ATTEMPTS}{_DISCS}
 select distinct run_id, page, number, cast(disc_no as int) as disc_no from v
 union select run_id, page, a.number, 0 from a where coalesce(len(list_filter(a.verification_discrepancies, lambda x: x is not null)), 0) = 0

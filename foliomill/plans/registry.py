@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliomill.plans import drifts, hierarchies, records, regions, reviews, workspace, rasters, provenance, streams
+from foliomill.plans import drifts, hierarchies, records, regions, reviews, workspace, rasters, geometry, provenance, streams
 
-MODULES = [hierarchies, drifts, records, regions, reviews, workspace, rasters, provenance, streams]
+MODULES = [hierarchies, drifts, records, regions, reviews, workspace, rasters, geometry, provenance, streams]
 
 
 def queries() -> dict:

@@ -1,4 +1,8 @@
 import json
+import random
+from collections import Counter
+
+import pytest
 
 from foliomill.operators import drift
 
@@ -64,3 +68,55 @@ def test_dirt_and_table(spark):
 def test_distance_of_equal_candidates():
     cost, changes = drift.tree_edit({"a": "number", "b": "number"}, {"c": "number"}, {"a": 1, "b": 1}, {"c": 1})
     assert cost == 2 and sorted(changes) == [("a", "renamed", "c"), ("b", "renamed", "c")]
+
+
+def walk(v, path, out):
+    if isinstance(v, dict):
+        for k, x in v.items():
+            walk(x, f"{path}.{k}" if path else k, out)
+    elif isinstance(v, list) and any(isinstance(x, dict) for x in v):
+        for x in v:
+            walk(x, path + "[]", out)
+    elif isinstance(v, list):
+        if [x for x in v if x is not None]:
+            out.append((path, "array", json.dumps(v)))
+    elif v is not None:
+        out.append((path, "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string", json.dumps(v)))
+
+
+def brute(files):
+    """The changes by the definition, pair of files by pair of files."""
+    out = set()
+    held = {}
+    for no, records in files.items():
+        held[no] = [(key, leaves) for key, rec in records if not walk(rec, "", leaves := [])]
+    for a, b in zip(sorted(files), sorted(files)[1:]):
+        types, values = {}, {}
+        for no in (a, b):
+            count, values[no] = {}, {}
+            for key, ls in held[no]:
+                for p, t, v in ls:
+                    count.setdefault(p, Counter())[t] += 1
+                for p in {p for p, _, _ in ls}:
+                    values[no].setdefault(p, {})[key] = [(t, v) for q, t, v in ls if q == p]
+            types[no] = {p: min(t for t in c if c[t] == max(c.values())) for p, c in count.items()}
+        shared = {k for k, _ in held[a]} & {k for k, _ in held[b]}
+        gone, come = types[a].keys() - types[b].keys(), types[b].keys() - types[a].keys()
+        pairs = {(f, g) for f in gone for g in come if (ks := [k for k in shared if k in values[a][f] or k in values[b][g]]) and all(values[a][f].get(k) == values[b][g].get(k) for k in ks)}
+        out |= {(b, f, "renamed", g) for f, g in pairs}
+        out |= {(b, f, "removed", "") for f in gone - {f for f, _ in pairs}} | {(b, g, "added", "") for g in come - {g for _, g in pairs}}
+        out |= {(b, f, "retyped", "") for f in types[a].keys() & types[b].keys() if types[a][f] != types[b][f]}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_streams_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    names = [f"f{k}" for k in range(8)]
+    base = {k: {n: rng.choice([1, 2, "a", "b", True, None, [], ["x"], [1, None], [{"u": 1, "w": rng.choice("pq")}, {"u": 2}], {"in": rng.choice([3, "z"])}]) for n in names} for k in "abcdefgh"}
+    files = {}
+    for no in (1, 2, 5, 6):
+        rename = {n: rng.choice([n, n, n, f"g{rng.randrange(4)}{n}", None]) for n in names}
+        files[no] = [(k, {rename[n]: (str(v) if rng.random() < 0.1 and v is not None else v) for n, v in base[k].items() if rename[n]}) for k in rng.sample("abcdefgh", 5)]
+    got = {tuple(r)[1:] for r in drift.changes(lines(spark, files)).collect()}
+    assert got == brute(files)
