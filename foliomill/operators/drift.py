@@ -214,7 +214,7 @@ def scripts(lines: DataFrame, rows: DataFrame) -> DataFrame:
     proof = held.groupBy("stream", "pair", "field").agg(F.concat_ws(":", F.count("*"), F.sum(F.col("e").cast("decimal(38,0)")), F.bit_xor("e")).alias("proof"))
     whole = both.join(proof.withColumnRenamed("pair", "file_no"), ["stream", "file_no", "field"], "left")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         old = {f: t for f, t in zip(pdf.field, pdf.old) if t is not None}
         new = {f: t for f, t in zip(pdf.field, pdf.new) if t is not None}
         proofs = {f: p for f, p in zip(pdf.field, pdf.proof) if p is not None}

@@ -178,16 +178,31 @@ def _offsets(spark, sized: DataFrame) -> DataFrame:
 def descendants(tree: DataFrame, of: DataFrame) -> DataFrame:
     """kind, ancestor, id: every proper descendant of the (kind, id) rows in ``of``, by range.
 
-    The equality on (kind, root) is the join key; the range is checked within a tree.
+    A range is cut into blocks of 16**j numbers, at most 30 of each j, and a node
+    lies in one block of each j, so each pair meets in exactly one block: the join
+    is one of equal keys, and its work follows the size of its result also in a
+    tree that holds a third of all nodes.
     """
-    a = tree.join(of.select("kind", "id").distinct(), ["kind", "id"], "left_semi").where("lft is not null")
-    a = a.select("kind", "root", F.col("id").alias("ancestor"), F.col("lft").alias("a_lft"), F.col("rgt").alias("a_rgt"))
-    return (
-        tree.where("lft is not null")
-        .join(a, ["kind", "root"])
-        .where("lft > a_lft and lft <= a_rgt")
-        .select("kind", "ancestor", "id")
-    )
+    a = tree.join(of.select("kind", "id").distinct(), ["kind", "id"], "left_semi").where("lft is not null and size > 1")
+    a = a.select("kind", "root", F.col("id").alias("ancestor"), (F.col("lft") + 1).alias("s"), (F.col("rgt") + 1).alias("e"))  # [s, e)
+    most = a.agg(F.max(F.col("e") - F.col("s"))).first()[0] or 1
+    levels = 0
+    while 16 ** (levels + 1) <= most:
+        levels += 1
+    cuts = []
+    for j in range(levels + 1):
+        size, above = 16**j, 16 ** (j + 1)
+        first, last = F.ceil(F.col("s") / size), F.floor(F.col("e") / size)  # whole blocks [first, last)
+        up, down = F.ceil(F.col("s") / above) * 16, F.floor(F.col("e") / above) * 16  # those that the next size covers
+        covered = (up < down) if j < levels else F.lit(False)
+        run = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
+        blocks = F.when(covered, F.concat(run(first, up), run(down, last))).otherwise(run(first, last))
+        level = F.lit(j).alias("j")
+        cuts.append(F.transform(blocks, lambda b: F.struct(level, b.alias("b"))))  # noqa: B023
+    ranges = a.select("kind", "root", "ancestor", F.explode(F.concat(*cuts)).alias("x")).select("kind", "root", "ancestor", "x.j", "x.b")
+    inside = tree.where("lft is not null").join(a.select("kind", "root").distinct(), ["kind", "root"], "left_semi")
+    points = inside.select("kind", "root", "id", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.floor(F.col("lft") / 16**j).alias("b")) for j in range(levels + 1)))).alias("x")).select("kind", "root", "id", "x.j", "x.b")
+    return points.join(ranges, ["kind", "root", "j", "b"]).select("kind", "ancestor", "id")
 
 
 def paths(tree: DataFrame) -> DataFrame:

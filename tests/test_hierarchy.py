@@ -85,3 +85,13 @@ def test_empty(spark):
     assert h.hierarchy(nodes).count() == 0
     assert h.roots(nodes).count() == 0
     assert h.paths(h.hierarchy(nodes)).count() == 0
+
+
+def test_descendants_of_large_trees(spark):
+    rng = random.Random(9)
+    parents = {"n0": None} | {f"n{k}": f"n{max(0, k - rng.randint(1, 40))}" for k in range(1, 900)}
+    nodes = spark.createDataFrame([("n", i, p) for i, p in parents.items()], "kind string, id string, parent string")
+    of = spark.createDataFrame([("n", f"n{k}") for k in (0, 1, 2, 7, 100, 899)] + [("n", "n0"), ("other", "n0")], "kind string, id string")
+    got = [(r.ancestor, r.id) for r in h.descendants(h.hierarchy(nodes), of).collect()]
+    want = {(a, i) for a in ("n0", "n1", "n2", "n7", "n100", "n899") for i in parents if i != a and a in path_of(i, parents)}
+    assert len(got) == len(set(got)) and set(got) == want
