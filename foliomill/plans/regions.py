@@ -17,6 +17,8 @@ REPAIRABLE = ("changed_text", "missing_text", "invented_text", "changed_handwrit
 SEVERITIES = ("low", "medium", "high", "critical")
 # End of fixed values.
 
+#: The leaves of a report that these queries read.
+SLIM = "run_id string, received_at timestamp, pages array<struct<attempts array<struct<generated_width int, generated_height int, verification_discrepancies array<struct<category string, severity string, region struct<l double, t double, r double, b double>>>>>>>"
 KEY = ["run_id", "page_no", "attempt_no", "disc_no"]
 
 
@@ -31,7 +33,7 @@ def rank(c) -> F.Column:
 
 def attempts(spark: SparkSession, d: str) -> DataFrame:
     """run_id, page_no, attempt_no, a: attempts of each run's latest delivery, nulls left out."""
-    pages = latest(table(spark, d, "reports"), F.col("pages")).select("run_id", F.posexplode(F.filter("pages", lambda x: x.isNotNull())).alias("page_no", "p"))
+    pages = latest(spark.read.schema(SLIM).parquet(f"{d}/reports.parquet"), F.col("pages")).select("run_id", F.posexplode(F.filter("pages", lambda x: x.isNotNull())).alias("page_no", "p"))
     inner = pages.select("run_id", (F.col("page_no") + 1).alias("page_no"), F.posexplode(F.filter("p.attempts", lambda x: x.isNotNull())).alias("attempt_no", "a"))
     return inner.withColumn("attempt_no", F.col("attempt_no") + 1)
 
