@@ -14,9 +14,8 @@ projection that brings every file into one table.
 from __future__ import annotations
 
 import json
-from collections import defaultdict
+from collections import Counter, defaultdict
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,6 +27,7 @@ from foliomill.operators.hierarchy import roots
 from foliomill.session import Shelf
 
 TYPES = ("array", "boolean", "number", "string")
+_ONE = {t: tuple(int(t == u) for u in TYPES) for t in TYPES}
 
 
 def _plain(v):
@@ -77,7 +77,7 @@ def flatten_lines(lines: DataFrame, with_values: bool = False) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows: list[list] = [[] for _ in schema]
+            rows: list[tuple] = []
             ids, streams, files, keys, texts = (batch.column(i).to_pylist() for i in range(5))
             for rid, stream, file_no, key, text in zip(ids, streams, files, keys, texts):
                 out: dict[str, list] = defaultdict(list)
@@ -88,18 +88,20 @@ def flatten_lines(lines: DataFrame, with_values: bool = False) -> DataFrame:
                 if isinstance(record, dict):
                     leaves(record, "", out)
                 for field, values in out.items():
-                    text_of = json.dumps(values, ensure_ascii=False, separators=(",", ":"))
-                    n = dict.fromkeys(TYPES, 0)
-                    for t, _ in values:
-                        n[t] += 1
-                    row = [rid, stream, file_no, key, field, *n.values(), xxhash.xxh3_64_intdigest(text_of.encode("utf-8", "surrogatepass")) - (1 << 63)]
+                    if len(values) == 1:
+                        n = _ONE[values[0][0]]
+                    else:
+                        count = Counter(t for t, _ in values)
+                        n = tuple(count[t] for t in TYPES)
+                    h = xxhash.xxh3_64_intdigest(repr(values).encode("utf-8", "surrogatepass")) - (1 << 63)
                     if with_values:
                         kept = [v for _, v in values]
-                        row.append(json.dumps(kept[0] if len(kept) == 1 and "[]" not in field else kept, ensure_ascii=False))
-                    for c, v in zip(rows, row):
-                        c.append(v)
-            arrow = [pa.array(c, t) for c, t in zip(rows, [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), *[pa.int32()] * 4, pa.int64(), *[pa.string()] * with_values])]
-            yield pa.RecordBatch.from_arrays(arrow, names=schema.names)
+                        rows.append((rid, stream, file_no, key, field, *n, h, json.dumps(kept[0] if len(kept) == 1 and "[]" not in field else kept, ensure_ascii=False)))
+                    else:
+                        rows.append((rid, stream, file_no, key, field, *n, h))
+            cols = list(zip(*rows)) or [()] * len(schema)
+            types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), *[pa.int32()] * 4, pa.int64(), *[pa.string()] * with_values]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=schema.names)
 
     return lines.select(F.col("record_id").cast("long"), "stream", F.col("file_no").cast("int"), "record_key", "payload").mapInArrow(run, schema)
 
@@ -214,16 +216,25 @@ def scripts(lines: DataFrame, rows: DataFrame) -> DataFrame:
     proof = held.groupBy("stream", "pair", "field").agg(F.concat_ws(":", F.count("*"), F.sum(F.col("e").cast("decimal(38,0)")), F.bit_xor("e")).alias("proof"))
     whole = both.join(proof.withColumnRenamed("pair", "file_no"), ["stream", "file_no", "field"], "left")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        old = {f: t for f, t in zip(pdf.field, pdf.old) if t is not None}
-        new = {f: t for f, t in zip(pdf.field, pdf.new) if t is not None}
-        proofs = {f: p for f, p in zip(pdf.field, pdf.proof) if p is not None}
-        cost, changes = tree_edit(old, new, proofs, proofs)
-        out = [(key[0], key[1], None, f, c, g, 1, cost) for f, c, g in changes]
-        out += [(key[0], key[1], op, x, None, y, n, cost) for op, x, y, n in folded(changes, set(old), set(new))]
-        return pd.DataFrame(out, columns=_PAIR.names)
+    # one row per pair of files holds both schemas, whose size has nothing to do with the number of records
+    pairs_of = whole.groupBy("stream", "file_no").agg(F.collect_list(F.struct("field", "old", "new", "proof")).alias("fields"))
 
-    return whole.groupBy("stream", "file_no").applyInPandas(run, _PAIR)
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for stream, file_no, fields in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                old = {x["field"]: x["old"] for x in fields if x["old"] is not None}
+                new = {x["field"]: x["new"] for x in fields if x["new"] is not None}
+                proofs = {x["field"]: x["proof"] for x in fields if x["proof"] is not None}
+                cost, found = tree_edit(old, new, proofs, proofs)
+                if found:
+                    out += [(stream, file_no, None, f, c, g, 1, cost) for f, c, g in found]
+                    out += [(stream, file_no, op, x, None, y, n, cost) for op, x, y, n in folded(found, set(old), set(new))]
+            cols = list(zip(*out)) or [()] * len(_PAIR)
+            types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=_PAIR.names)
+
+    return pairs_of.mapInArrow(run, _PAIR)
 
 
 def changes(lines: DataFrame) -> DataFrame:
