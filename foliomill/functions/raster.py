@@ -116,10 +116,6 @@ def component_stats(labels: np.ndarray, n: int) -> list[tuple[int, int, int, int
     return [(i + 1, int(area[i]), *map(int, out[i])) for i in range(n)]
 
 
-def light_rows(text_rows: np.ndarray) -> np.ndarray:
-    return text_rows.mean(axis=1)
-
-
 def bordered(a: np.ndarray, fraction: float) -> np.ndarray:
     """A white frame of the fraction of each side, at least one pixel."""
     out = a.copy()

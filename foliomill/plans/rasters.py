@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from foliomill.functions import images, raster
 from foliomill.operators.pages import over_pages
