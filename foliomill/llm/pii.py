@@ -94,7 +94,6 @@ _LOW = r"[a-zß-öø-ÿāăąćčďđēęěğīłńňōőœřśşšťūůűźż
 _EMAIL = re.compile(r"[A-Za-z0-9][\w.+%-]*@(?:[\w-]+\.)+[A-Za-z]{2,}")
 
 # Phones.  O may stand for 0 in the last group.
-_D = r"[\dO]"
 _PHONE = re.compile(
     r"(?<![\w.,/-])(?:"
     r"\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\(?\d{1,4}\)?(?:[ ./-]?[\dO]{2,8}){1,5}"
