@@ -23,4 +23,4 @@ def test_core_doesnt_import_llm():
 
 def test_flagship(spark):
     df = entry.entry(spark)
-    assert df.columns == ["kind", "id", "state"] and df.count() > 0
+    assert "accepted" in df.columns and df.count() > 0
