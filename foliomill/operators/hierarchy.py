@@ -174,15 +174,16 @@ def _offsets(spark, sized: DataFrame) -> DataFrame:
     return w.unionByName(sized.where("depth = 0").select("k", F.lit(0).cast("long").alias("w"))).withColumn("r", F.lit(0))
 
 
-def descendants(tree: DataFrame, of: DataFrame) -> DataFrame:
-    """kind, ancestor, id: every proper descendant of the (kind, id) rows in ``of``, by range.
+def descendants(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """kind, ancestor, id: every proper descendant of the (kind, id) rows in ``of``, or of all rows, by range.
 
     A range is cut into blocks of 16**j numbers, at most 30 of each j, and a node
     lies in one block of each j, so each pair meets in exactly one block: the join
     is one of equal keys, and its work follows the size of its result also in a
     tree that holds a third of all nodes.
     """
-    a = tree.join(of.select("kind", "id").distinct(), ["kind", "id"], "left_semi").where("lft is not null and size > 1")
+    a = tree if of is None else tree.join(of.select("kind", "id").distinct(), ["kind", "id"], "left_semi")
+    a = a.where("lft is not null and size > 1")
     a = a.select("kind", "root", F.col("id").alias("ancestor"), (F.col("lft") + 1).alias("s"), (F.col("rgt") + 1).alias("e"))  # [s, e)
     most = a.agg(F.max(F.col("e") - F.col("s"))).first()[0] or 1
     levels = 0
@@ -199,7 +200,9 @@ def descendants(tree: DataFrame, of: DataFrame) -> DataFrame:
         level = F.lit(j).alias("j")
         cuts.append(F.transform(blocks, lambda b: F.struct(level, b.alias("b"))))  # noqa: B023
     ranges = a.select("kind", "root", "ancestor", F.explode(F.concat(*cuts)).alias("x")).select("kind", "root", "ancestor", "x.j", "x.b")
-    inside = tree.where("lft is not null").join(a.select("kind", "root").distinct(), ["kind", "root"], "left_semi")
+    inside = tree.where("lft > 0")  # the top of a tree is nobody's descendant
+    if of is not None:
+        inside = inside.join(a.select("kind", "root").distinct(), ["kind", "root"], "left_semi")
     points = inside.select("kind", "root", "id", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.floor(F.col("lft") / 16**j).alias("b")) for j in range(levels + 1)))).alias("x")).select("kind", "root", "id", "x.j", "x.b")
     return points.join(ranges, ["kind", "root", "j", "b"]).select("kind", "ancestor", "id")
 

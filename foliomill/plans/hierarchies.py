@@ -31,10 +31,15 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Number of descendants, by range, of every version and run whose id's hash is divisible by 20."""
-    tree = Shelf(spark, "tree").put(h.hierarchy(lineage_links(spark, d)), "tree")
-    of = tree.where(F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(20)) == 0)
-    return h.descendants(tree, of).groupBy("kind", "ancestor").agg(F.count("*").alias("n"))
+    """kind, ancestor, id: every version and run with each of its proper descendants.
+
+    Below a cycle the records are taken as trees of their own.  Records on a cycle
+    are no ancestors here: each would be its own (p2_found marks them).
+    """
+    shelf = Shelf(spark, "tree")
+    tree = shelf.put(h.hierarchy(lineage_links(spark, d)), "tree")
+    below = shelf.put(h.hierarchy(tree.where(F.col("state") == h.BELOW).select("kind", "id", "parent")), "below")
+    return h.descendants(tree.unionByName(below))
 
 
 QUERIES = {"p2_found": p2_found, "p2_nested_sets": p2_nested_sets, "p2_paths": p2_paths, "p2_descendants": p2_descendants}

@@ -1,6 +1,7 @@
 import random
 
 from foliomill.operators import hierarchy as h
+from foliomill.plans import hierarchies
 
 
 def brute(parents):
@@ -95,3 +96,13 @@ def test_descendants_of_large_trees(spark):
     got = [(r.ancestor, r.id) for r in h.descendants(h.hierarchy(nodes), of).collect()]
     want = {(a, i) for a in ("n0", "n1", "n2", "n7", "n100", "n899") for i in parents if i != a and a in path_of(i, parents)}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_query_gives_descendants_of_every_record(spark, tmp_path):
+    versions = {"a": None, "b": "a", "c": "b", "d": "a", "e": "gone", "f": "e", "x": "y", "y": "x", "z": "x", "t": "z", "u": "t"}
+    runs = {"a": None, "g": "a"}
+    spark.createDataFrame(list(versions.items()), "id string, parent_id string").write.parquet(f"{tmp_path}/lab_versions.parquet")
+    spark.createDataFrame(list(runs.items()), "id string, parent_run_id string").write.parquet(f"{tmp_path}/lab_runs.parquet")
+    got = sorted((r.kind, r.ancestor, r.id) for r in hierarchies.p2_descendants(spark, str(tmp_path)).collect())
+    want = {"a": "bcd", "b": "c", "e": "f", "z": "tu", "t": "u"}
+    assert got == sorted([("version", a, i) for a, ids in want.items() for i in ids] + [("run", "a", "g")])
