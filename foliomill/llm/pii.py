@@ -52,15 +52,18 @@ _DASHES = "‐‑‒–—―−﹘﹣－"
 _ONE = {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord(c): "-" for c in _DASHES} | {0xA0: " ", 0x202F: " ", 0x2007: " ", 0x2009: " ", 0x3000: " ", 0xFF20: "@", 0xFE6B: "@", 0xFF0E: ".", 0x2024: ".", 0x2019: "'", 0x2018: "'", 0x02BC: "'"} | {0xFF10 + i: str(i) for i in range(10)} | {0xFF21 + i: chr(65 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
 _INVISIBLE = "­​‌‍‎‏⁠﻿"
 _RE_INVISIBLE = re.compile(f"[{_INVISIBLE}]+")
-_RE_AT = re.compile(r"\s*[\[({<]\s*(?:at|arroba|arobase|ät|@)\s*[\])}>]\s*|(?<=[A-Za-z0-9]) @ (?=[A-Za-z0-9])| (?:AT|at) (?=[A-Za-z0-9][\w-]*(?: ?[\[(]?(?:dot|DOT|punto|punkt|point)[\])]? ?[A-Za-z0-9]))", re.I)
+# "point" is an English word too: as a dot it must lead to a top-level domain that is none.
+_END = r"(?:com|org|net|info|biz|edu|gov|example|(?!(?:an|as|at|by|do|go|he|if|in|is|it|me|my|no|of|on|or|so|to|up|us|we)\b)[a-z]{2})\b"
+_SAID = rf"(?: (?:dot|punto|punkt) | point (?=(?:[\w-]+ (?:dot|point) )*{_END}))"
+_NO_HOST = r"(?!(?:a|an|another|any|each|every|her|his|its|my|no|one|our|some|that|the|their|this|what|which|your) )"
+_RE_AT = re.compile(rf"\s*[\[({{<]\s*(?:at|arroba|arobase|ät|@)\s*[\])}}>]\s*|(?<=[A-Za-z0-9]) @ (?=[A-Za-z0-9])| (?:at|arroba|arobase|ät) (?={_NO_HOST}[A-Za-z0-9][\w-]*(?:{_SAID}| ?[\[(](?:dot|punto|punkt|point)[\])] ?)[A-Za-z0-9])", re.I)
 _RE_DOT = re.compile(r"\s*[\[({]\s*(?:dot|punto|punkt|point|\.)\s*[\])}]\s*", re.I)
-_RE_SPOKEN_DOT = re.compile(r"@[\w-]+(?:(?:\.| (?:dot|punto|punkt|point) )[\w-]+)+", re.I)
+_RE_SPOKEN_DOT = re.compile(rf"@[\w-]+(?:(?:\.|{_SAID})[\w-]+)+", re.I)
 _SPOKEN_DOT = re.compile(r" (?:dot|punto|punkt|point) ", re.I)
 _RE_BREAK = re.compile(r"(?<=[\w@][.@-])\s*\n\s*(?=\w)|(?<=\w)\s*\n\s*(?=[.@]\w)")
 _RE_DIGIT_WORDS = re.compile(r"\b(?:" + "|".join(DIGIT_WORDS) + r")(?:[\s,-]+(?:" + "|".join(DIGIT_WORDS) + r")){5,}\b", re.I)
 _RE_WORD = re.compile(r"\w+")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_DISGUISE = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|ät|@)\b| @ | dot ", re.I)
 
 
 def normalise(text: str, words: set[str]) -> Tape:
@@ -80,10 +83,13 @@ def normalise(text: str, words: set[str]) -> Tape:
             plain = tape.text
     if "\n" in plain and ("@" in plain or "(at)" in plain or "[at]" in plain):
         tape.replace(_RE_BREAK, lambda m: "")
-    if _DISGUISE.search(plain):
+    if _RE_AT.search(tape.text):
         tape.replace(_RE_AT, lambda m: "@")
-        tape.replace(_RE_DOT, lambda m: ".")
-        tape.replace(_RE_SPOKEN_DOT, lambda m: _SPOKEN_DOT.sub(".", m[0]))
+    if "@" in tape.text:
+        if _RE_DOT.search(tape.text):
+            tape.replace(_RE_DOT, lambda m: ".")
+        if _RE_SPOKEN_DOT.search(tape.text):
+            tape.replace(_RE_SPOKEN_DOT, lambda m: _SPOKEN_DOT.sub(".", m[0]))
     if len(words & DIGIT_WORDS.keys()) > 2:
         tape.replace(_RE_DIGIT_WORDS, lambda m: "".join(DIGIT_WORDS.get(w.lower(), "") for w in _RE_WORD.findall(m[0])))
     return tape

@@ -54,3 +54,14 @@ def test_redact(spark):
     assert sorted((r.id or 0, r.masked, tuple(r.types)) for r in rows if r.masked is not None) == [(0, "", ()), (1, "Call [NAME].", ("name",)), (1, "Call [NAME].", ("name",))]
     assert [tuple(r.types) for r in rows if r.masked is None] == [()]
     assert pii.redact(df.limit(0), "text").count() == 0
+
+
+@pytest.mark.parametrize("mailbox", ["jane[@]firm.com", "jane (@) firm.com", "jane@firm[dot]com", "jane@firm (dot) com", "juan at correo punto es", "hans at firma punkt de", "luc at maison point fr", "juan arroba correo punto es", "jane{at}firm.com"])
+def test_disguised_mailboxes(mailbox):
+    text = f"Write to {mailbox}, please."
+    assert [(text[a:b], k) for a, b, k in pii.detect(text)] == [(mailbox, "email")]
+
+
+def test_no_mailbox():
+    for text in ("Look at the point where lines meet.", "Asset page@2x point is missing.", "It breaks at boiling point in summer.", "Arrive at noon (at the dot)."):
+        assert pii.detect(text) == []
