@@ -42,6 +42,7 @@ STREETS_FR = r"rue|avenue|boulevard|chemin|impasse|allée|place|quai|cours|passa
 STREETS_ES = r"Calle|C/|Plaza|Avenida|Avda\.?|Paseo|Camino|Ronda|Travesía|Callejón"
 THINGS = r"box|stock code|part no\.?|lot|shelf|catalogue no\.?|serial|accession|ISBN|ISSN|ticket|reference|ref\.?|run|version|node|invoice|order|item|model"
 PLACES = r"line|column|digit|issue|sheet|page|row|item|entry|step|version|figure|plate|box|lot|shelf"
+CALLS = r"(?:tele)?phone|téléphone|telefon|tel[eé]fono|t[eé]l|tlf|(?:tele)?fax|mobile?|móvil|cell|cellular|celular|portable|handy|hotline|landline|(?:direct|fax|phone|private|office|home) line|durchwahl|rufnummer|contact"
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9", "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9"}
 # Cyrillic and Greek letters that look like Latin ones.
 HOMOGLYPHS = dict(zip("АВЕКМНОРСТУХаеорсухіјѕԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαν", "ABEKMHOPCTYXaeopcyxijsdqwABEZHIKMNOPTYXoav"))
@@ -112,6 +113,7 @@ _PHONE = re.compile(
     r"|0\d{2,4}[ /-]\d{3,5}[ -]\d{2,4}|0\d{2,4}/\d{4,8}"
     r")(?:\s?(?:ext\.?|x|app\.?|Durchwahl|poste)\s?\d{1,5})?(?![\w]|[.,]\d|-\d)"
 )
+_CALL_NO = r"(?:[\s_-]*(?:line|no|nos|nr|núm|num|number|nummer|numero|número|numéro|n\.?\s?[º°o]|#)\.?)?"
 _ID_LABEL = r"(?:SSN|social security (?:number|no\.?)|passport(?: no\.?| number)?|Reisepass(?:nummer)?|pasaporte|passeport|Personalausweis(?:nummer)?|Steuer-?ID|Steuernummer|tax id|TIN|VAT id|NI number|National Insurance(?: number| no\.?)?|DNI|NIE|NIF|CURP|patient (?:identity )?(?:no\.?|number|id)|patient identity no\.?|insurance (?:no\.?|number)|policy holder no\.?|Versicherungsnummer|driving licence(?: no\.?)?|driver'?s licen[cs]e(?: no\.?)?|licen[cs]e|Führerschein(?:nummer)?|permis de conduire|n° de sécurité sociale|numéro de sécurité sociale|NIR|AHV(?:-Nummer)?|BSN|PESEL|CPF)"
 _ID_LABELLED = re.compile(_ID_LABEL + r"\s*(?:no\.?|nr\.?|number|n°|#|:)?\s*((?=[A-Z0-9 .\-/]*\d)[A-Z]{0,6}\d?[A-Z0-9]*(?:[ .\-/]?(?=[A-Z0-9]*\d)[A-Z0-9]+)*(?:[ -][A-Z])?)(?![a-z0-9])", re.I)
 _ID_BARE = re.compile(
@@ -130,7 +132,9 @@ _ID_BARE = re.compile(
     r"|9\d\d \d\d \d{4}"
     r")(?![\w]|[.,]\d|-\w)"
 )
-_BEFORE_THING = re.compile(r"(?:" + THINGS + r"|no\.?|n°|nr\.?|code|page|line|column)\s*[:#]?\s*$", re.I)
+# At the start of a word or of a part of one like orderNo; German compounds (Bestellnr.) and barcodes count whole.
+_BEFORE_THING = re.compile(r"(?:(?<![^\W_])|(?-i:(?<=[a-z])(?=[A-Z])))(?:" + THINGS + r"|no\.?|n°|\w*nr\.?|\w*code|page|line|column)\s*[:#]?\s*$", re.I)
+_BEFORE_CALL = re.compile(r"(?<![^\W_])(?:" + CALLS + r")\.?" + _CALL_NO + r"\s*[:#]?\s*$", re.I)
 _BEFORE_LABEL = re.compile(_ID_LABEL + r"\s*(?:no\.?|:)?\s*$", re.I)
 _BEFORE_PLACE = re.compile(r"(?:^|[^\w])(?:" + PLACES + r")\s*$", re.I)
 
@@ -249,6 +253,12 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y, _ in found)
 
+    def thing(a: int) -> bool:
+        return bool(_BEFORE_THING.search(t, max(0, a - 24), a))
+
+    def called(a: int) -> bool:
+        return bool(_BEFORE_CALL.search(t, max(0, a - 40), a))
+
     digits = len(_DIGITS.findall(t))
     if digits >= 6:
         if not words.isdisjoint(_WORDS_LABEL):
@@ -256,11 +266,11 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                 if sum(c.isdigit() for c in m[1]) >= 5 and free(*m.span()):
                     found.append((m.start(1), m.end(1), "id_number"))
         for m in _ID_BARE.finditer(t):
-            if free(*m.span()) and not (_BEFORE_THING.search(t, max(0, m.start() - 24), m.start()) and not _BEFORE_LABEL.search(t, max(0, m.start() - 40), m.start())):
+            if free(*m.span()) and not (thing(m.start()) and not _BEFORE_LABEL.search(t, max(0, m.start() - 40), m.start())):
                 found.append((m.start(), m.end(), "id_number"))
     if digits >= 8:
         for m in _PHONE.finditer(t):
-            if 8 <= sum(c.isdigit() for c in m[0]) <= 20 and free(*m.span()) and not _BEFORE_THING.search(t, max(0, m.start() - 24), m.start()):
+            if 8 <= sum(c.isdigit() for c in m[0]) <= 20 and free(*m.span()) and (m[0][0] == "+" or called(m.start()) or not thing(m.start())):
                 found.append((m.start(), m.end(), "phone"))
     if digits and (not words.isdisjoint(_WORDS_STREET) or "C/" in t or any(w.endswith(_ENDS_STREET) for w in words)):
         for m in _ADDRESS.finditer(t):

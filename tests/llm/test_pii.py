@@ -65,3 +65,14 @@ def test_disguised_mailboxes(mailbox):
 def test_no_mailbox():
     for text in ("Look at the point where lines meet.", "Asset page@2x point is missing.", "It breaks at boiling point in summer.", "Arrive at noon (at the dot)."):
         assert pii.detect(text) == []
+
+
+@pytest.mark.parametrize("label", ["phone no.", "fax no.:", "Telefon-Nr.", "Telefonnr.", "direct line", "landline:", "Teléfono", "telefono:", "tel. n°", "phoneNo:", "phone_no:"])
+def test_labelled_phones(label):
+    assert pii.mask(f"See {label} 617-555-0102 today", pii.detect(f"See {label} 617-555-0102 today")) == f"See {label} [PHONE] today"
+
+
+def test_phones_with_a_plus_and_numbers_of_things():
+    assert pii.mask("order no. +44 20 7946 0312", pii.detect("order no. +44 20 7946 0312")) == "order no. [PHONE]"
+    for label in ("order no.", "Bestellnr.", "barcode", "orderNo:", "order_no:", "line", "ticket", "Nr."):
+        assert pii.detect(f"See {label} 617-555-0102 today") == []
