@@ -119,17 +119,17 @@ _ID_LABELLED = re.compile(_ID_LABEL + r"\s*(?:no\.?|nr\.?|number|n°|#|:)?\s*((?
 _ID_BARE = re.compile(
     r"(?<![\w.,/-])(?:"
     r"\d{3}-\d{2}-\d{4}"  # social security number
-    r"|QQ ?\d\d ?\d\d ?\d\d ?[A-D]"  # national insurance number
-    r"|[A-Z]{2} \d\d \d\d \d\d [A-D]"
-    r"|QQXXX ?\d{6}"  # driving licence
-    r"|[A-Z]{5} \d{6}"
+    r"|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]"  # national insurance number
+    r"|[A-Z][A-Z9]{4} ?\d{6} ?[A-Z9]{2}\d[A-Z\d]{2}"  # driving licence, whole or its first two parts
+    rf"|(?!(?:{THINGS.upper()}|{PLACES.upper()})(?![A-Z]))[A-Z]{{5}} ?\d{{6}}"
+    r"|[XYZ]-?\d{7}-?[A-Z]"  # identity number of a foreigner
     r"|X\d{8}|L\d{8}|[A-Z]\d{8}"  # passport, identity card
     r"|\d{8}-?[A-Z]"  # identity number with a check letter
     r"|\d{6}-\d{4}"  # patient number
     r"|\d{2}-\d{7}"  # tax number
     r"|\d{2} \d{3} \d{3} \d{3}"
     r"|[0-2]? ?\d \d\d \d\d \d\d \d{3} \d{3}(?: \d\d)?"
-    r"|9\d\d \d\d \d{4}"
+    r"|\d{3} \d\d \d{4}"  # social security number
     r")(?![\w]|[.,]\d|-\w)"
 )
 # At the start of a word or of a part of one like orderNo; German compounds (Bestellnr.) and barcodes count whole.
@@ -265,9 +265,10 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             for m in _ID_LABELLED.finditer(t):
                 if sum(c.isdigit() for c in m[1]) >= 5 and free(*m.span()):
                     found.append((m.start(1), m.end(1), "id_number"))
+        abroad = [m.span() for m in _PHONE.finditer(t) if m[0].startswith(("+", "00"))]  # their groups are no identity numbers
         for m in _ID_BARE.finditer(t):
-            if free(*m.span()) and not (thing(m.start()) and not _BEFORE_LABEL.search(t, max(0, m.start() - 40), m.start())):
-                found.append((m.start(), m.end(), "id_number"))
+            if free(*m.span()) and not any(a < m.start() and m.end() <= b for a, b in abroad) and not (thing(m.start()) and not _BEFORE_LABEL.search(t, max(0, m.start() - 40), m.start())):
+                found.append((m.start(), m.end(), "phone" if called(m.start()) else "id_number"))
     if digits >= 8:
         for m in _PHONE.finditer(t):
             if 8 <= sum(c.isdigit() for c in m[0]) <= 20 and free(*m.span()) and (m[0][0] == "+" or called(m.start()) or not thing(m.start())):

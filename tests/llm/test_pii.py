@@ -76,3 +76,15 @@ def test_phones_with_a_plus_and_numbers_of_things():
     assert pii.mask("order no. +44 20 7946 0312", pii.detect("order no. +44 20 7946 0312")) == "order no. [PHONE]"
     for label in ("order no.", "Bestellnr.", "barcode", "orderNo:", "order_no:", "line", "ticket", "Nr."):
         assert pii.detect(f"See {label} 617-555-0102 today") == []
+
+
+@pytest.mark.parametrize("number", ["AB123456C", "AB 12 34 56 C", "123 45 6789", "928 07 2192", "MORGA657054SM9IJ", "MORGA 657054 SM9IJ", "FO999657054SM9IJ", "MORGA657054", "X1234567L"])
+def test_identity_numbers_without_a_label(number):
+    assert pii.detect(f"Seen: {number}.") == [(6, 6 + len(number), "id_number")]
+    assert pii.detect(f"Seen: stock code {number}.") == []
+
+
+def test_groups_of_other_numbers_are_no_identity_numbers():
+    assert pii.detect("Tel. +49 123 45 6789") == [(5, 20, "phone")]
+    assert pii.detect("Tel. 123 45 6789") == [(5, 16, "phone")]
+    assert pii.detect("ORDER 123456, SHEET123456") == []
