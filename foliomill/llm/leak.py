@@ -29,6 +29,7 @@ BLOCK_CHARS = 16 << 20
 
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\[nrtbf\"'\\/]|&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[A-Za-z]{2,8});")
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿️]+")
+_SOFT = re.compile(r"\u00ad[\s\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ufe0f]*[\r\n][\s>|*\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ufe0f]*")
 _FORMS = re.compile(r"[^\x00-\x7f][̀-ͯ]*|[A-Za-z][̀-ͯ]+")
 _BREAK = re.compile(r"(?<=[^\W\d_])[-‐‑¬]\s*\n[\s>|*]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
@@ -43,6 +44,7 @@ def _escaped(m: re.Match) -> str:
 
 _STEPS = (
     (_ESCAPE, _escaped),
+    (_SOFT, lambda m: ""),
     (_INVISIBLE, lambda m: ""),
     (_FORMS, lambda m: unicodedata.normalize("NFKC", m[0])),
     (re.compile("İ"), lambda m: "I"),  # the one letter whose small form has two characters
@@ -56,7 +58,7 @@ def plain(text: str) -> str:
     if "\\" in text or "&" in text:
         text = _ESCAPE.sub(_escaped, text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).replace("İ", "I")
+        text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", _SOFT.sub("", text))).replace("İ", "I")
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "\n" in text:

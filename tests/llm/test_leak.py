@@ -69,3 +69,12 @@ def test_blocks_give_the_same(spark, monkeypatch):
 def test_located_words_are_the_same():
     text = "A\\u0301x ﬁne sele-\n rveil &amp; b​c\r\n> Straße İx"
     assert [w for w, _, _ in leak.located(text)] == leak.tokens(text)
+
+
+def test_words_broken_by_soft_hyphens_at_every_line_end():
+    words = [f"fragment{c}word" for c in "abcdefghijklmnopqr"]
+    item = leak.Items([(1, " ".join(words))])
+    for end in ("\u00ad\n", "\u00ad \r\n> ", "\u200b\u00ad\u200b\n"):
+        text = " ".join(w.replace("ment", "ment" + end) if i % 3 == 0 else w for i, w in enumerate(words))
+        assert leak.tokens(text) == words == [w for w, _, _ in leak.located(text)]
+        assert [i for i, _, _ in item.find([text])[0]] == [1]
