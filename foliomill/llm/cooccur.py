@@ -7,7 +7,8 @@ deltas of pairs, single items and the number of baskets are merged into counts
 that lie in hash buckets on shared storage: only buckets with a delta are read
 and rewritten, and a manifest names the generation of each bucket, so a merge
 that fails half-way leaves the old state.  Association scores are recomputed
-for pairs of which a count or a marginal changed.
+for pairs of which a count or a marginal changed, and for all pairs where the
+number of baskets changed.
 """
 
 from __future__ import annotations
@@ -133,3 +134,14 @@ class PairTable:
             .withColumn("npmi", F.when(F.col("n_ab") == F.col("n"), F.lit(1.0)).otherwise(F.log("lift") / -F.log(F.col("n_ab") / n)))
             .select("a", "b", "n_ab", "n_a", "n_b", "n", "lift", "npmi")
         )
+
+    def rescore(self, old: DataFrame, changed: DataFrame) -> DataFrame:
+        """The scores after a merge: old scores, with those the ``changed`` deltas affect computed again.
+
+        The number of baskets is part of every score, so a change of it affects all pairs.
+        """
+        if not changed.where("a is null").isEmpty():
+            return self.scores()
+        hit = changed.where("a is not null").select(F.col("a").alias("x")).distinct()
+        kept = old.join(hit, old.a == hit.x, "left_anti").join(hit, old.b == hit.x, "left_anti")
+        return kept.unionByName(self.scores(changed))

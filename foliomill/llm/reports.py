@@ -49,18 +49,22 @@ def p1_scores(spark: SparkSession, d: str) -> DataFrame:
 def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
     """As p1_scores, from two merges: deliveries of all days but the last, then the last day's changes.
 
-    The second merge takes back the baskets of runs that were delivered again.
+    The second merge takes back the baskets of runs that were delivered again, and
+    the written scores of the first are updated where its deltas affect them.  A
+    null received_at is the earliest.
     """
     rows = _basket_rows(spark, d)
     cut = F.lit(rows.agg(F.date_trunc("day", F.max("received_at"))).first()[0])
-    early = rows.where(F.col("received_at") < cut)
-    pairs = PairTable(spark, Shelf(spark, "pairs").path("p1"))
+    early = rows.where((F.col("received_at") < cut) | F.col("received_at").isNull())
+    shelf = Shelf(spark, "pairs")
+    pairs = PairTable(spark, shelf.path("p1"))
     pairs.merge(_after(early))
+    scores = shelf.put(pairs.scores(), "scores")
     late = rows.where(F.col("received_at") >= cut)
     again = early.join(late.select("run_id").distinct(), "run_id", "left_semi")
     back = latest(again, F.col("baskets")).select(F.explode("baskets").alias("before"), F.lit(None).cast("array<string>").alias("after"))
-    pairs.merge(back.unionByName(_after(late)))
-    return pairs.scores().select("a", "b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
+    scores = pairs.rescore(scores, pairs.merge(back.unionByName(_after(late))))
+    return scores.select("a", "b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
 
 
 def _measures(spark: SparkSession, d: str) -> DataFrame:

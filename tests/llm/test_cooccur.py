@@ -1,3 +1,4 @@
+import datetime
 import random
 from collections import Counter
 from itertools import combinations
@@ -5,6 +6,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from foliomill.llm.cooccur import PairTable, item_text
+from foliomill.llm.reports import BASKETS, p1_incremental, p1_scores
 
 SCHEMA = "before array<string>, after array<string>"
 
@@ -80,3 +82,23 @@ def test_scores_and_empty(spark, tmp_path):
 def test_item_text(spark):
     rows = spark.createDataFrame([(" Changed-Text ",), ("changed text",), ("  ",), (None,)], "c string").select(item_text(F.col("c"))).collect()
     assert [r[0] for r in rows] == ["changed_text", "changed_text", None, None]
+
+
+def test_rescored_as_from_all_counts(spark, tmp_path):
+    pairs = table(spark, tmp_path)
+    pairs.merge(spark.createDataFrame([(None, ["a", "b"]), (None, ["c", "d"]), (None, ["a", "c"]), (None, ["b", "d"])], SCHEMA))
+    changes = [([(["a", "b"], ["a", "d"])], "same number of baskets"), ([(None, ["a", "b"])], "one more"), ([(["c", "d"], None), (["a", "b"], None)], "fewer")]
+    for k, (change, _) in enumerate(changes):
+        pairs.scores().write.parquet(f"{tmp_path}/old{k}")
+        delta = pairs.merge(spark.createDataFrame(change, SCHEMA))
+        got = pairs.rescore(spark.read.parquet(f"{tmp_path}/old{k}"), delta)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.scores().collect()))
+
+
+def test_incremental_with_null_times(spark, tmp_path):
+    day = lambda k: datetime.datetime(2024, 1, k)
+    of = lambda *c: [([(list(c), None)],)]
+    rows = [("r1", None, of("a", "b")), ("r2", None, of("a", "c")), ("r2", day(3), of("a", "b")), ("r3", day(1), of("b", "c")), ("r4", day(3), of("a", "c"))]
+    spark.createDataFrame(rows, BASKETS).write.parquet(f"{tmp_path}/reports.parquet")
+    got = sorted(map(tuple, p1_incremental(spark, str(tmp_path)).collect()))
+    assert got == sorted(map(tuple, p1_scores(spark, str(tmp_path)).collect())) and [r[:3] for r in got] == [("a", "b", 2), ("a", "c", 1), ("b", "c", 1)]
