@@ -30,6 +30,41 @@ FULL = Level(
     ),
 )
 
+def _fields(**kinds: str) -> dict[str, tuple[str, str]]:
+    return {c: (c, kind) for kind, names in kinds.items() for c in names.split()}
+
+
+_BOX = _fields(double="l t r b")
+#: Every field of a report and below; lists of plain values are JSON, lists of boxes are levels.
+WHOLE = Level(
+    "report",
+    fields=_fields(
+        int="schema_version ambiguous_timeout_charges",
+        string="source output source_sha256 output_sha256 backend billing_mode image_model verification_model verification_strategy started_at finished_at backend_version",
+        double="cost_usd",
+        long="prompt_tokens completion_tokens total_tokens",
+        json="removed_pdf_features warnings",
+    ),
+    children=(
+        Level(
+            "page",
+            "pages",
+            _fields(int="page", string="status source_render_sha256 final_render_sha256 fallback_reason"),
+            (
+                Level(
+                    "attempt",
+                    "attempts",
+                    _fields(int="number generated_width generated_height", string="strategy error_type", double="effective_dpi", boolean="accepted", json="local_issues verification_categories"),
+                    (
+                        Level("discrepancy", "verification_discrepancies", _fields(string="category severity", json="region")),
+                        *(Level(f"{x}_region", f"{x}_quality_regions", _BOX) for x in ("localized", "committed", "rejected")),
+                    ),
+                ),
+            ),
+        ),
+    ),
+)
+
 KEYS = Level("report", children=(Level("page", "pages", {"page": ("page", "int")}, (Level("attempt", "attempts", {"number": ("number", "int")}, (Level("discrepancy", "verification_discrepancies"),)),)),))
 
 
@@ -48,12 +83,12 @@ def _flat(spark: SparkSession, d: str, top: Level) -> DataFrame:
     return flatten(latest(reports, F.to_json(F.struct(*body)).alias("body")), ["run_id"], "body", top)
 
 
-def _table(level: Level) -> callable:
+def _table(level: Level, top: Level) -> callable:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        keys = [F.col("ords")[i].alias(c) for i, c in enumerate(("page_no", "attempt_no", "disc_no")[: level_depth])]
-        return _flat(spark, d, FULL).where(F.col("level") == level.name).select("run_id", *keys, *(F.col(f"{level.name}_{c}").alias(c) for c in level.fields), *(F.col(f"n_{c.name}") for c in level.children))
+        keys = [F.col("ords")[i].alias(c) for i, c in enumerate(names)]
+        return _flat(spark, d, top).where(F.col("level") == level.name).select("run_id", *keys, *(F.col(f"{level.name}_{c}").alias(c) for c in level.fields), *(F.col(f"n_{c.name}") for c in level.children))
 
-    level_depth = [x.name for x in FULL.walk()].index(level.name)
+    names = {"report": (), "page": ("page_no",), "attempt": ("page_no", "attempt_no"), "discrepancy": ("page_no", "attempt_no", "disc_no")}.get(level.name, ("page_no", "attempt_no", "region_no"))
     query.__doc__ = f"The {level.name} table: one row per {level.name}, linked to its parent by run_id and positions."
     return query
 
@@ -77,7 +112,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_found": p6_found} | {f"p6_{x.name}s".replace("ys", "ies"): _table(x) for x in FULL.walk()}
+QUERIES = {"p6_found": p6_found} | {f"p6_{x.name}s".replace("ys", "ies"): _table(x, FULL) for x in FULL.walk()} | {f"p6_whole_{x.name}s".replace("ys", "ies"): _table(x, WHOLE) for x in WHOLE.walk()}
 
 _LATEST = "with latest as (select * from (select *, row_number() over (partition by run_id order by received_at desc nulls last) as rn from reports) where rn = 1)"
 _PAGES = ", p as (select run_id, unnest(list_filter(pages, lambda x: x is not null)) as p, unnest(range(1, 1 + len(list_filter(pages, lambda x: x is not null)))) as page_no from latest)"
