@@ -138,3 +138,19 @@ def tiles(width: Column, height: Column, share: float = 0.10) -> Column:
 def from_view(view: Box, x: Box, width: Column, height: Column) -> Box:
     """A box in a view's coordinates brought to page coordinates."""
     return Box((view.l + x.l * view.w) / width, (view.t + x.t * view.h) / height, (view.l + x.r * view.w) / width, (view.t + x.b * view.h) / height)
+
+
+def padded(x: Box, least: float, across: float, along: float) -> Box:
+    """A box grown on each side by a share of its width and height, ``least`` at least; not clamped."""
+    px, py = F.greatest(F.lit(least), x.w * across), F.greatest(F.lit(least), x.h * along)
+    return Box(x.l - px, x.t - py, x.r + px, x.b + py)
+
+
+#: Padding of a region that is restored whole, and of one that is restored as evidence.
+RESTORE, EVIDENCE = (0.004, 0.08, 0.12), (0.003, 0.04, 0.08)
+
+
+def pixels(x: Box, width: Column, height: Column) -> Box:
+    """The box as a pixel window inside the page, rounded half to even; empty where nothing of it is on the page."""
+    at = lambda c, n: between(F.rint(c * n), F.lit(0.0), n.cast("double")).cast("int")
+    return Box(at(x.l, width), at(x.t, height), at(x.r, width), at(x.b, height))

@@ -29,3 +29,8 @@ def pixel_hash(data: Column, width: Column, height: Column) -> Column:
 def canonical_json(**fields: Column) -> Column:
     """A JSON object of the fields in the order of their names, nulls included."""
     return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
+
+
+def sealed(payload: Column) -> Column:
+    """A canonical JSON text together with its hash, again canonical: what is embedded in images."""
+    return F.concat(F.lit('{"payload":'), payload, F.lit(',"payload_sha256":"'), F.sha2(payload, 256), F.lit('"}'))

@@ -8,15 +8,6 @@ from __future__ import annotations
 import numpy as np
 
 
-def from_text(text: str | None, width: int = 64) -> np.ndarray:
-    """A text as a page: code points modulo 256 in rows of ``width``, the last row filled with white."""
-    codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32) % 256
-    rows = -(-codes.size // width)
-    page = np.full(rows * width, 255, np.uint8)
-    page[: codes.size] = codes
-    return page.reshape(rows, width)
-
-
 def _slide(a: np.ndarray, k: int, axis: int, f, fill) -> np.ndarray:
     """f over a centred window of k along the axis, by doubling strides."""
     half = k // 2
@@ -67,7 +58,9 @@ def box_sum(a: np.ndarray, kx: int, ky: int) -> np.ndarray:
 def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
     """Labels from 1 of the 8-connected parts of a mask, and their number.
 
-    Rows are cut into runs; runs of neighbouring rows that touch are united.
+    Rows are cut into runs.  Runs of neighbouring rows that touch are found by
+    binary search, and united in rounds in which every run takes the least number
+    known at either end of an edge and numbers are followed to their ends.
     """
     labels = np.zeros(mask.shape, np.int32)
     if not mask.any():
@@ -76,26 +69,22 @@ def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
     edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     y, start = np.nonzero(edge == 1)
     stop = np.nonzero(edge == -1)[1]
-    parent = np.arange(y.size)
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    first = np.searchsorted(y, np.arange(h + 1))
-    for row in range(1, h):
-        i, i_end, j, j_end = first[row - 1], first[row], first[row], first[row + 1]
-        while i < i_end and j < j_end:
-            if start[i] <= stop[j] and start[j] <= stop[i]:
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-            if stop[i] < stop[j]:
-                i += 1
-            else:
-                j += 1
-    root = np.array([find(i) for i in range(y.size)])
+    wide = w + 2
+    low = np.searchsorted(y * wide + stop, (y - 1) * wide + start)  # first run above that ends at or behind the start
+    high = np.searchsorted(y * wide + start, (y - 1) * wide + stop, "right")
+    n = np.maximum(high - low, 0)
+    below = np.repeat(np.arange(y.size), n)
+    above = np.arange(below.size) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    root = np.arange(y.size)
+    while True:
+        a, b = root[above], root[below]
+        least = np.minimum(a, b)
+        if (a == b).all():
+            break
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        while (root != root[root]).any():
+            root = root[root]
     names, number = np.unique(root, return_inverse=True)
     flat = np.zeros(h * (w + 1), np.int32)
     np.add.at(flat, y * (w + 1) + start, number + 1)
@@ -103,34 +92,30 @@ def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
     return np.cumsum(flat.reshape(h, w + 1), axis=1)[:, :w].astype(np.int32), names.size
 
 
-def component_stats(labels: np.ndarray, n: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(label, area, min x, min y, max x, max y) of every component."""
+def component_stats(labels: np.ndarray, n: int) -> np.ndarray:
+    """Rows of area, min x, min y, max x, max y of the components 1 to n."""
     y, x = np.nonzero(labels)
     at = labels[y, x] - 1
-    area = np.bincount(at, minlength=n)
-    out = np.empty((n, 4), np.int64)
-    for k, (f, v, fill) in enumerate(((np.minimum, x, 1 << 40), (np.minimum, y, 1 << 40), (np.maximum, x, -1), (np.maximum, y, -1))):
-        acc = np.full(n, fill)
-        f.at(acc, at, v)
-        out[:, k] = acc
-    return [(i + 1, int(area[i]), *map(int, out[i])) for i in range(n)]
-
-
-def bordered(a: np.ndarray, fraction: float) -> np.ndarray:
-    """A white frame of the fraction of each side, at least one pixel."""
-    out = a.copy()
-    if a.size:
-        my, mx = max(1, round(a.shape[0] * fraction)), max(1, round(a.shape[1] * fraction))
-        out[:my], out[-my:], out[:, :mx], out[:, -mx:] = 255, 255, 255, 255
+    out = np.empty((n, 5), np.int64)
+    out[:, 0] = np.bincount(at, minlength=n)
+    for k, (f, v, fill) in enumerate(((np.minimum, x, 1 << 40), (np.minimum, y, 1 << 40), (np.maximum, x, -1), (np.maximum, y, -1)), 1):
+        out[:, k] = fill
+        f.at(out[:, k], at, v)
     return out
 
 
-def shade_flattened(a: np.ndarray, k: int = 15, target: int = 252) -> np.ndarray:
-    """Brightness divided by the local mean of the paper, the mean of a k-window's closed image."""
+def shade_flattened(a: np.ndarray, k: int = 15, target: int = 252, inside: np.ndarray | None = None) -> np.ndarray:
+    """Brightness divided by the local mean of the paper, the mean of a k-window's closed image.
+
+    inside: the rows that belong to a page (all, where it is null).
+    """
     if not a.size:
         return a
-    paper = box_sum(closed(a, 3, 3), k, k) / box_sum(np.ones_like(a), k, k)
-    return np.clip(np.rint(a * (target / np.maximum(paper, 1))), 0, 255).astype(np.uint8)
+    inside = np.ones(a.shape[0], bool) if inside is None else inside
+    held = lambda x, fill: np.where(inside[:, None], x, np.asarray(fill, x.dtype))
+    paper = held(erode(held(dilate(held(a, 0), 3, 3), 255), 3, 3), 0)
+    mean = box_sum(paper, k, k) / np.maximum(box_sum(held(np.ones_like(a), 0), k, k), 1)
+    return np.clip(np.rint(a * (target / np.maximum(mean, 1))), 0, 255).astype(np.uint8)
 
 
 def specks(mask: np.ndarray, most: int = 2, reach: int = 5) -> np.ndarray:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliomill.functions import boxes as bx
+from foliomill.functions import raster
 from foliomill.operators import marks
 from foliomill.operators.pages import over_pages
 from foliomill.plans.regions import attempts
@@ -62,32 +64,22 @@ def aligned_rings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged_holes(spark: SparkSession, d: str) -> DataFrame:
-    """Circles of restored and source boxes of each run, one per physical hole: a fold in order of ids."""
+    """Circles of restored and source boxes of each run, one per physical hole: how many, and their radii in sum."""
     late = F.lit("0001-01-01").cast("timestamp")
     rows = table(spark, d, "lab_issues").where("run_id is not null and id is not null").groupBy("run_id", "id").agg(F.max_by(F.struct("restored_box", "source_box"), F.coalesce("reviewed_at", late)).alias("x"))
-    lists = rows.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("id", "x.restored_box", "x.source_box"))).alias("xs"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            ids, n, kept = [], [], []
-            for r in batch.to_pylist():
-                circles = [[(b["x0"] + b["x1"], b["y0"] + b["y1"], (b["x1"] - b["x0"]) / 2, 0.01, False) for x in r["xs"] if (b := x[side]) and None not in b.values()] for side in ("restored_box", "source_box")]
-                ids.append(r["run_id"])
-                n.append(sum(map(len, circles)))
-                kept.append(len(marks.merged_circles([[(x / 2, y / 2, q, p, i) for x, y, q, p, i in g] for g in circles])))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(n, pa.int32()), pa.array(kept, pa.int32())], names=["run_id", "n_circles", "n_holes"])
-
-    return lists.mapInArrow(run, "run_id string, n_circles int, n_holes int")
+    sides = rows.select("run_id", "id", F.posexplode(F.array("x.restored_box", "x.source_box")).alias("side", "b")).where("b.x1 > b.x0 and b.y1 > b.y0")
+    circle = F.struct(((F.col("b.x0") + F.col("b.x1")) / 2).alias("x"), ((F.col("b.y0") + F.col("b.y1")) / 2).alias("y"), ((F.col("b.x1") - F.col("b.x0")) / 2).alias("r"), F.lit(0.01).alias("pad"), (F.col("side") == 0).alias("ink"))
+    lists = sides.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("side", "id", circle.alias("c")))).alias("xs"))
+    kept = lists.select("run_id", F.size("xs").alias("n_circles"), marks.distinct_circles(F.transform("xs", lambda x: x["c"])).alias("kept"))
+    return kept.select("run_id", "n_circles", F.size("kept").alias("n_holes"), F.size(F.filter("kept", lambda c: c["ink"])).alias("n_ink"), F.aggregate("kept", F.lit(0).cast("long"), lambda n, c: n + F.floor(c["r"] * 1e6 + 0.5)).alias("radii"))
 
 
 def boundary_rails(spark: SparkSession, d: str) -> DataFrame:
     """Per page the rows in which a dark rail begins at the left edge, and the deepest of them."""
 
-    def kernel(i, a):
-        depths = [marks.dark_start(row, 32) for row in a]
-        yield i, sum(x > 0 for x in depths), max(depths, default=0)
+    def kernel(s):
+        depths = marks.rail_depths(s.a)
+        return None, s.sums(depths > 0), s.most(depths)
 
     return over_pages(table(spark, d, "documents"), kernel, "page_id long, n_rows int, deepest int")
 
@@ -95,36 +87,46 @@ def boundary_rails(spark: SparkSession, d: str) -> DataFrame:
 def pale_strips_topk(spark: SparkSession, d: str) -> DataFrame:
     """The three rows of each page fullest of pale pixels."""
 
-    def kernel(i, a):
-        for k, (y, n, _) in enumerate(marks.pale_strips(a), 1):
-            yield i, k, y, n
+    def kernel(s):
+        rows = [(k, i, y, n) for k, a in s.pages() for i, (y, n, _) in enumerate(marks.pale_strips(a), 1)]
+        return tuple(zip(*rows)) or ([], [], [], [])
 
-    return over_pages(table(spark, d, "documents"), kernel, "page_id long, strip int, y int, n int")
+    return over_pages(table(spark, d, "documents"), kernel, "page_id long, strip int, y int, n int", 0)
 
 
 def region_restore(spark: SparkSession, d: str) -> DataFrame:
     """Brightness of every page after a cleaned copy got a fixed region of the source back, wholly or as evidence."""
-    from foliomill.functions import raster
+    height = F.ceil(F.length(F.coalesce("text", F.lit(""))) / 64)
+    region = bx.Box(*map(F.lit, (0.25, 0.25, 0.75, 0.5)))
+    windows = {f"{name}_{side}": c for name, pad in (("restore", bx.RESTORE), ("evidence", bx.EVIDENCE)) for side, c in zip("ltrb", bx.pixels(bx.padded(region, *pad), F.lit(64), height))}
 
-    def kernel(i, a):
-        clean = raster.closed(a, 3, 1)
-        region = [(0.25, 0.25, 0.75, 0.5)]
-        yield i, int(clean.sum(dtype=np.int64)), int(marks.pasted(a, clean, region).sum(dtype=np.int64)), int(marks.pasted(a, clean, region, True).sum(dtype=np.int64))
+    def kernel(s):
+        clean = s.hold(raster.erode(s.hold(raster.dilate(s.hold(s.a, 0), 3, 1), 255), 3, 1), 0)
+        rows = []
+        for k, a in s.pages():
+            b = clean[s.first[k] : s.first[k] + a.shape[0]]
+            whole, evidence = (np.array([[w[k] for w in s.extra[i : i + 4]]]) for i in (0, 4))
+            rows.append([int(x.sum(dtype=np.int64)) for x in (b, marks.recombined(a, b, whole), marks.recombined(a, b, evidence, darker=True))])
+        return (None, *zip(*rows)) if rows else (None, [], [], [])
 
-    return over_pages(table(spark, d, "documents"), kernel, "page_id long, clean long, restored long, evidence long")
+    return over_pages(table(spark, d, "documents"), kernel, "page_id long, clean long, restored long, evidence long", **windows)
 
 
 def edge_curves(spark: SparkSession, d: str) -> DataFrame:
     """Per page with an edge: the smooth curve through the first ink of its rows, at the middle row, and the rows it was fitted to."""
 
-    def kernel(i, a):
-        ink = a < 80
-        at = np.flatnonzero(ink.any(axis=1))
-        curve = marks.fitted_edge(at, ink[at].argmax(axis=1), a.shape[0]) if at.size else None
-        if curve is not None:
-            yield i, len(at), round(float(curve[len(curve) // 2]), 4)
+    def kernel(s):
+        ink = s.a < 80
+        first, there = ink.argmax(axis=1), ink.any(axis=1)
+        rows = []
+        for k, a in s.pages():
+            at = np.flatnonzero(there[s.first[k] : s.first[k] + a.shape[0]])
+            curve = marks.robust_curve(at, first[s.first[k] + at], a.shape[0]) if len(at) >= 32 else None
+            if curve is not None:
+                rows.append((k, len(at), round(float(curve[len(curve) // 2]), 4)))
+        return tuple(zip(*rows)) or ([], [], [])
 
-    return over_pages(table(spark, d, "documents"), kernel, "page_id long, n_rows int, middle double")
+    return over_pages(table(spark, d, "documents"), kernel, "page_id long, n_rows int, middle double", 0)
 
 
 QUERIES = {f.__name__: f for f in (contained_canvas, ordered_corners, page_skew, aligned_rings, merged_holes, boundary_rails, pale_strips_topk, region_restore, edge_curves)}
@@ -151,4 +153,18 @@ select run_id, page_no, attempt_no, fw as width, fh as height, cast(floor((2480
 l as (select px.page_id, px.y, x, s, count(*) filter (g >= 200) over (partition by px.page_id, px.y order by x rows between current row and 2 following) as n from px join d using (page_id, y) where x < 32 and x >= s),
 h as (select page_id, y, min(x) as depth from l where n = 3 group by all)
 select s.page_id, cast(count(*) filter (depth > 0) as int) as n_rows, cast(coalesce(max(depth), 0) as int) as deepest from s left join h using (page_id) group by s.page_id""",
+    "merged_holes": """with recursive b as (select run_id, id, unnest([0, 1]) as side, unnest([restored_box, source_box]) as b from (select *, row_number() over (partition by run_id, id order by reviewed_at desc nulls last) as rn from lab_issues where run_id is not null and id is not null) where rn = 1),
+c as (select run_id, side, (b.x0 + b.x1) / 2 as x, (b.y0 + b.y1) / 2 as y, (b.x1 - b.x0) / 2 as r, row_number() over (partition by run_id order by (b.x1 - b.x0) / 2 desc, side, id) as k from b where b.x1 > b.x0 and b.y1 > b.y0),
+f as (select distinct run_id, cast(0 as bigint) as k, cast([] as struct(x double, y double, r double, ink boolean)[]) as kept from c
+ union all
+ select f.run_id, f.k + 1, case when len(list_filter(kept, lambda o: (o.x - c.x) * (o.x - c.x) + (o.y - c.y) * (o.y - c.y) <= o.r * o.r)) = 0 then list_append(kept, struct_pack(x := c.x, y := c.y, r := c.r, ink := c.side = 0))
+  else list_transform(kept, lambda o, i: struct_pack(x := o.x, y := o.y, r := o.r, ink := o.ink or (c.side = 0 and i = list_position(list_transform(kept, lambda q: (q.x - c.x) * (q.x - c.x) + (q.y - c.y) * (q.y - c.y) <= q.r * q.r), true)))) end
+ from f join c on c.run_id = f.run_id and c.k = f.k + 1),
+l as (select run_id, max(k) as n from c group by 1)
+select run_id, cast(n as int) as n_circles, cast(len(kept) as int) as n_holes, cast(len(list_filter(kept, lambda o: o.ink)) as int) as n_ink, cast(coalesce(list_sum(list_transform(kept, lambda o: cast(floor(o.r * 1e6 + 0.5) as bigint))), 0) as bigint) as radii from f join l using (run_id) where f.k = l.n""",
+    "region_restore": _PIX + """, d as (select page_id, y, x, g, max(g) over (partition by page_id, y order by x rows between 1 preceding and 1 following) as m from px),
+c as (select page_id, y, x, g, min(m) over (partition by page_id, y order by x rows between 1 preceding and 1 following) as v from d),
+j as (select c.*, x >= 13 and x < 51 and y >= round_even((0.25 - 0.03) * height, 0) and y < round_even((0.5 + 0.03) * height, 0) as w, x >= 15 and x < 49 and y >= round_even((0.25 - 0.02) * height, 0) and y < round_even((0.5 + 0.02) * height, 0) as e from c join s using (page_id)),
+t as (select page_id, sum(v) as clean, sum(case when w then g else v end) as restored, sum(case when e then least(g, v) else v end) as evidence from j group by 1)
+select page_id, cast(coalesce(clean, 0) as bigint) as clean, cast(coalesce(restored, 0) as bigint) as restored, cast(coalesce(evidence, 0) as bigint) as evidence from s left join t using (page_id)""",
 }

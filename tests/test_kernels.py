@@ -1,7 +1,14 @@
+import hashlib
+import json
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from foliomill.functions import images, raster
+from foliomill.functions import hashing, images, raster
+from foliomill.operators import pages
+from foliomill.operators.pages import Sheet
 
 
 def brute(a, kx, ky, f):
@@ -38,14 +45,30 @@ def test_components_against_flood_fill(share):
     labels, n = raster.components(mask)
     want, m = flood(mask)
     assert n == m and len(set(zip(labels.ravel().tolist(), want.ravel().tolist()))) == n + (0 if mask.all() else 1)
-    areas = sorted(s[1] for s in raster.component_stats(labels, n))
+    areas = sorted(raster.component_stats(labels, n)[:, 0].tolist())
     assert areas == sorted(np.bincount(want.ravel())[1:].tolist())
 
 
-def test_empty_page():
-    a = raster.from_text(None)
-    assert a.shape == (0, 64) and raster.components(a < 9)[1] == 0
-    assert raster.dilate(a, 3, 3).size == raster.box_sum(a, 3, 3).size == raster.shade_flattened(a).size == 0
+def test_sheet_is_its_pages():
+    texts = ["word " * 90, None, "", "é\U0001f600" * 40, "x"]
+    sheet = Sheet(pa.array(texts), 3, [])
+    for k, page in sheet.pages():
+        codes = [ord(c) % 256 for c in texts[k] or ""]
+        want = np.array(codes + [255] * (-len(codes) % 64), np.uint8).reshape(-1, 64)
+        assert (page == want).all() and page.shape == want.shape
+        for kx, ky in ((3, 3), (5, 7)):
+            got = raster.dilate(sheet.hold(sheet.a, 0), kx, ky)[sheet.page == k]
+            assert (got == raster.dilate(want, kx, ky)).all()
+    assert sheet.sums(sheet.a).tolist() == [int(p.sum()) for _, p in sheet.pages()]
+    empty = Sheet(pa.array([], pa.string()), 2, [])
+    assert empty.sums(empty.a).tolist() == [] and raster.components(empty.a < 9)[1] == 0
+
+
+def test_long_pages_are_cut_into_sheets(spark, monkeypatch):
+    monkeypatch.setattr(pages, "SHEET", 1 << 12)
+    docs = spark.createDataFrame([(i, "ab\n" * (i % 7) * 50) for i in range(40)] + [(None, None)], "doc_id long, text string")
+    rows = pages.over_pages(docs, lambda s: (None, s.heights), "page_id long, height int").collect()
+    assert sorted((r.page_id if r.page_id is not None else -1, r.height) for r in rows) == [(-1, 0)] + [(i, -(-(i % 7) * 150 // 64)) for i in range(40)]
 
 
 def test_specks_keep_strokes():
@@ -72,15 +95,22 @@ def test_homography_with_outliers():
 
 def test_manifests_round_trip():
     a = np.arange(64 * 3, dtype=np.uint8).reshape(3, 64)
-    data = images.png(a)
-    manifest = images.wrapped({"run_id": "abc", "n": 1})
-    out = images.embed_png(data, manifest)
-    assert images.extract_png(out) == manifest and (images.gray_of(out) == a).all() and images.extract_png(data) is None
+    data, manifest = images.png(a), b'{"run_id":"abc"}'
+    out = images.embed(data, manifest)
+    assert images.extract(out) == manifest and (images.gray_of(out) == a).all() and images.extract(data) is None
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02pixels\xff\xd9"
-    out = images.embed_jpeg(jpeg, manifest)
-    assert images.extract_jpeg(out) == manifest and out.endswith(jpeg[2:]) and images.extract_jpeg(jpeg) is None
+    out = images.embed(jpeg, manifest)
+    assert images.extract(out) == manifest and out.endswith(jpeg[2:]) and images.extract(jpeg) is None
+    for bad in (b"", b"no image", data[:20], jpeg[:9], b"\xff\xd8\xff\xe0\x00\x01"):
+        assert images.extract(bad) is None
+        with pytest.raises(ValueError):
+            images.embed(bad, manifest)
     with pytest.raises(ValueError):
-        images.embed_png(data, {"x": "y" * images.MOST})
-    with pytest.raises(ValueError):
-        images.embed_png(b"no image", manifest)
-    assert images.canonical({"b": 1, "a": "é"}) == '{"a":"é","b":1}'.encode()
+        images.embed(data, b"x" * (images.MOST + 1))
+
+
+def test_sealed_manifest(spark):
+    text = spark.range(1).select(hashing.sealed(hashing.canonical_json(b=F.lit(1), a=F.lit("é"))).alias("m")).first().m
+    payload = '{"a":"é","b":1}'
+    assert json.loads(text) == {"payload": json.loads(payload), "payload_sha256": hashlib.sha256(payload.encode()).hexdigest()}
+    assert text == json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
