@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -47,72 +47,90 @@ def links(df: DataFrame, id_col: str, parent_col: str, kind: str, root_words: tu
     )
 
 
-def _last(df: DataFrame) -> dict:
-    return df.agg(
-        F.count_if(~F.col("fin")).alias("active"),
-        F.countDistinct(F.when(~F.col("fin"), F.col("anc"))).alias("image"),
-    ).first().asDict()
+#: Parts of a round's table: nodes still under way, nodes that reached their root, finished nodes that others point at.
+_ACTIVE, _DONE, _LIVE = 0, 1, 2
 
 
 def _climb(nodes: DataFrame, shelf: Shelf):
-    """The upward rounds: written nodes, round 0, number of rounds, all rounds, nodes with a root, nodes without."""
+    """The upward rounds: written nodes, round 0, all rounds, number of rounds in which nodes reached a root, nodes without one.
+
+    A round reads the table of the round before: the active nodes and those
+    finished ones that active nodes point at.  What nobody points at in one round
+    nobody points at later (a node 2**(k+1) steps below implies one 2**k steps
+    below), so the rest is never read again.  A round has two shuffles: one brings
+    each node together with the sums handed to it (combined in each task before),
+    one brings the active nodes to their targets, which are in place already.
+    """
     # the rounds move eight-byte numbers; ids return at the end
     base = shelf.put(nodes.select("kind", "id", "parent", F.monotonically_increasing_id().alias("k")), "base")
     # round 0: which parents exist
     known = base.select("kind", F.col("id").alias("parent"), F.col("k").alias("p"))
-    up = base.join(known, ["kind", "parent"], "left")
+    none = lambda t: F.lit(None).cast(t)
     top = F.col("p").isNull()
+    is_active = F.col("part") == _ACTIVE
+    seen = Observation()
     first = shelf.put(
-        up.select(
+        base.join(known, ["kind", "parent"], "left")
+        .select(
             "k",
             F.col("p").alias("anc"),
             F.lit(1).cast("long").alias("s"),
-            top.alias("fin"),
             F.when(top, F.col("k")).alias("root"),
-            F.when(top, F.lit(0)).cast("long").alias("depth"),
-            F.when(top, F.when(F.col("parent").isNull(), F.lit(OK)).otherwise(F.lit(ORPHAN))).alias("state"),
-        ),
+            F.when(top, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth"),  # of an active node: its steps to anc
+            F.when(top, F.col("parent").isNotNull()).alias("orphan"),
+            top.alias("img"),
+            none("long").alias("more"),
+            F.when(top, F.lit(_DONE)).otherwise(F.lit(_ACTIVE)).alias("part"),
+        )
+        .observe(seen, F.count_if(is_active).alias("active")),
         "up0",
     )
-    now, seen, k = first, _last(first), 0
-    while seen["active"]:
-        active = now.where("not fin").select("k", "anc", "s")
-        gathered = active.groupBy("anc").agg(F.sum("s").alias("more")).withColumnRenamed("anc", "k")
-        done = shelf.many([f"up{i}" for i in range(k + 1)], first).where("fin")
-        target = done.select(F.col("k").alias("anc"), F.lit(None).cast("long").alias("anc2"), F.lit(True).alias("fin2"), "root", "depth", "state").unionByName(
-            active.select(F.col("k").alias("anc"), F.col("anc").alias("anc2"), F.lit(False).alias("fin2"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("string").alias("state"))
-        )
-        step = (
-            active.join(target, "anc")
-            .join(gathered, "k", "left")
-            .select(
-                "k",
-                F.col("anc2").alias("anc"),
-                (F.col("s") + F.coalesce("more", F.lit(0))).alias("s"),
-                F.col("fin2").alias("fin"),
-                "root",
-                (F.col("depth") + F.lit(1 << k)).alias("depth"),
-                "state",
-            )
-        )
-        k += 1
-        now = shelf.put(step, f"up{k}")
-        before, seen = seen, _last(now)
-        if seen == before:  # neither a root was reached nor did the set of targets shrink: all are cycles
-            break
-    every = shelf.many([f"up{i}" for i in range(k + 1)], first)
-    done, lost = every.where("fin"), now.where("not fin")
-    ring = lost.select(F.col("anc").alias("k")).distinct().withColumn("state", F.lit(CYCLE))
-    lost = lost.select("k").join(ring, "k", "left").select("k", F.coalesce("state", F.lit(BELOW)).alias("state"))
-    return base, first, k, every, done, lost
+    now, k, left, n = first, 0, seen.get["active"], None
+    while left and left != n:  # no node of depth 2**k means none that is deeper
+        n = left
+        needed = now.where(is_active | F.col("img"))
+        fields = ("anc", "s", "root", "depth", "orphan")
+        own = needed.select("k", *fields, none("long").alias("got"))
+        handed = now.where(is_active).select(F.col("anc").alias("k"), none("long").alias("anc"), none("long").alias("s"), none("long").alias("root"), none("long").alias("depth"), none("boolean").alias("orphan"), F.col("s").alias("got"))
+        here = own.unionByName(handed).groupBy("k").agg(*(F.max(c).alias(c) for c in fields), F.sum("got").alias("got"))
+        fin, img = F.col("root").isNotNull(), F.col("got").isNotNull()
+        target = here.where(img).select(F.col("k").alias("anc"), F.col("anc").alias("anc2"), "root", F.col("depth").alias("above"), "orphan")
+        moved = here.where(~fin).select("k", "anc", (F.col("s") + F.coalesce("got", F.lit(0))).alias("s"), "depth", img.alias("img")).join(target, "anc")
+        # steps add up: an active target is as many steps from its own target as the node is from it
+        moved = moved.select("k", F.col("anc2").alias("anc"), "s", "root", (F.col("depth") + F.col("above")).alias("depth"), "orphan", "img", none("long").alias("more"), F.when(fin, F.lit(_DONE)).otherwise(F.lit(_ACTIVE)).alias("part"))
+        kept = here.where(fin & img).select("k", none("long").alias("anc"), none("long").alias("s"), "root", "depth", "orphan", F.lit(True).alias("img"), F.col("got").alias("more"), F.lit(_LIVE).alias("part"))
+        seen = Observation()
+        now = shelf.put(moved.unionByName(kept).observe(seen, F.count_if(is_active).alias("active")), f"up{k + 1}")
+        k, left = k + 1, seen.get["active"]
+    rounds = shelf.many([f"up{i}" for i in range(k + 1)], first)
+    return base, first, rounds, k - (left > 0), _lost(now.where(is_active).select("k", "anc"), left, shelf)
+
+
+def _lost(active: DataFrame, left: int, shelf: Shelf) -> DataFrame:
+    """k, state of the nodes without a root: pointers double until they all lead into cycles."""
+    if not left:
+        return active.select("k", F.lit(BELOW).alias("state"))
+    ring, r = active.select("anc").distinct(), 0
+    n, before = ring.count(), None
+    while n != before:  # the set of targets only shrinks, and stops at the cycles
+        active = shelf.put(active.join(active.select(F.col("k").alias("anc"), F.col("anc").alias("anc2")), "anc").select("k", F.col("anc2").alias("anc")), f"lost{r}")
+        ring, r = active.select("anc").distinct(), r + 1
+        n, before = ring.count(), n
+    ring = ring.select(F.col("anc").alias("k"), F.lit(CYCLE).alias("state"))
+    return active.select("k").join(ring, "k", "left").select("k", F.coalesce("state", F.lit(BELOW)).alias("state"))
+
+
+def _finished(rounds: DataFrame) -> DataFrame:
+    """k, s, root, depth, state of the nodes that reached a root."""
+    return rounds.where(F.col("part") == _DONE).select("k", "s", "root", "depth", F.when(F.col("orphan"), ORPHAN).otherwise(OK).alias("state"))
 
 
 def roots(nodes: DataFrame) -> DataFrame:
     """kind, id, state, root, depth: the upward rounds alone, for callers that need no ranges."""
     shelf = Shelf(nodes.sparkSession, "roots")
-    base, _, _, _, done, lost = _climb(nodes, shelf)
+    base, _, rounds, _, lost = _climb(nodes, shelf)
     names = base.select(F.col("k").alias("root"), F.col("id").alias("root_id"))
-    tops = done.join(names, "root").select("k", "state", F.col("root_id").alias("root"), "depth")
+    tops = _finished(rounds).join(names, "root").select("k", "state", F.col("root_id").alias("root"), "depth")
     tops = tops.unionByName(lost.select("k", "state", F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth")))
     return base.join(tops, "k").select("kind", "id", "state", "root", "depth")
 
@@ -130,37 +148,34 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
     """
     spark = nodes.sparkSession
     shelf = Shelf(spark, "hierarchy")
-    base, first, k, every, done, lost = _climb(nodes, shelf)
-    gathered = every.where("not fin").groupBy("anc").agg(F.sum("s").alias("more")).withColumnRenamed("anc", "k")
-    sized = shelf.put(
-        first.select("k", F.col("anc").alias("p"))
-        .join(done.select("k", "root", "depth", "state"), "k")
-        .join(gathered, "k", "left")
-        .select("k", "p", "root", "depth", "state", (F.lit(1) + F.coalesce("more", F.lit(0))).alias("size")),
-        "sized",
-    )
-    way = _offsets(spark, sized)
-    # downward: the pointers of round i add what lies 2**i steps further up
-    way = shelf.put(way, "down0")
-    for i in range(k):
-        latest = _latest(shelf.many([f"down{j}" for j in range(i + 1)], way))
-        far = latest.select(F.col("k").alias("anc"), F.col("w").alias("w2"))
-        up = shelf.many([f"up{i}"], first).where("not fin").select("k", "anc")
-        shelf.put(up.join(latest, "k").join(far, "anc").select("k", (F.col("w") + F.col("w2")).alias("w"), F.lit(i + 1).alias("r")), f"down{i + 1}")
-    lft = _latest(shelf.many([f"down{j}" for j in range(k + 1)], way))
+    base, first, rounds, n_rounds, lost = _climb(nodes, shelf)
+    # what was handed to a node after it had finished, and the number of rounds in which that happened
+    later = rounds.where(F.col("part") == _LIVE).groupBy("k").agg(F.sum("more").alias("more"), F.count("*").alias("far"))
+    sized = first.select("k", F.col("anc").alias("p")).join(_finished(rounds), "k").join(later, "k", "left")
+    sized = shelf.put(sized.select("k", "p", "root", "depth", "state", (F.col("s") + F.coalesce("more", F.lit(0))).alias("size"), F.coalesce("far", F.lit(0)).alias("far")), "sized")
+    # downward: a node hands on the sum of the offsets along its pointer until the pointer's target has its range;
+    # "far" counts down the rounds in which anyone still points at the node once it has
+    way = shelf.put(_offsets(spark, sized).join(sized.select("k", F.col("p").alias("anc"), "far"), "k").select("k", "anc", "w", "far", F.col("anc").isNull().alias("fin")), "down0")
+    first_way = way
+    for i in range(n_rounds):
+        going = way.where("not fin").select("k", "anc", "w", "far")
+        live = way.where("fin and far > 0")
+        target = way.where("not fin or far > 0").select(F.col("k").alias("anc"), F.col("anc").alias("anc2"), F.col("w").alias("w2"), "fin")
+        moved = going.join(target, "anc").select("k", F.col("anc2").alias("anc"), (F.col("w") + F.col("w2")).alias("w"), "far", "fin", F.lit(True).alias("new"))
+        kept = live.select("k", "anc", "w", (F.col("far") - 1).alias("far"), "fin", F.lit(False).alias("new"))
+        way = shelf.put(moved.unionByName(kept), f"down{i + 1}")
+    lft = first_way.where("fin").select("k", F.col("w").alias("lft"))
+    if n_rounds:
+        lft = lft.unionByName(shelf.many([f"down{i + 1}" for i in range(n_rounds)], way).where("fin and new").select("k", F.col("w").alias("lft")))
     names = base.select(F.col("k").alias("root"), F.col("id").alias("root_id"))
-    numbers = sized.join(lft.select("k", F.col("w").alias("lft")), "k").join(names, "root").select("k", "state", F.col("root_id").alias("root"), "depth", "size", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"))
+    numbers = sized.join(lft, "k").join(names, "root").select("k", "state", F.col("root_id").alias("root"), "depth", "size", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("root", "string"), ("depth", "long"), ("size", "long"), ("lft", "long"), ("rgt", "long"))]
     numbers = numbers.unionByName(lost.select("k", "state", *none))
     return base.join(numbers, "k").select("kind", "id", "parent", "state", "root", "depth", "size", "lft", "rgt")
 
 
-def _latest(way: DataFrame) -> DataFrame:
-    return way.groupBy("k").agg(F.max_by("w", "r").alias("w"))
-
-
 def _offsets(spark, sized: DataFrame) -> DataFrame:
-    """k, w, r: the preorder offset under the parent; 0 for the top of a tree.
+    """k, w: the preorder offset under the parent; 0 for the top of a tree.
 
     Siblings are ordered by (bucket of the id's hash, id).  Only the sums of a
     parent's buckets meet in one window, and each bucket has a window of its own.
@@ -171,7 +186,7 @@ def _offsets(spark, sized: DataFrame) -> DataFrame:
     start = sums.select("p", "b", (F.sum("n").over(W.partitionBy("p").orderBy("b").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("start"))
     inner = kids.withColumn("inner", F.sum("size").over(W.partitionBy("p", "b").orderBy("k").rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     w = inner.join(start, ["p", "b"]).select("k", (F.lit(1) + F.col("start") + F.col("inner")).alias("w"))
-    return w.unionByName(sized.where("depth = 0").select("k", F.lit(0).cast("long").alias("w"))).withColumn("r", F.lit(0))
+    return w.unionByName(sized.where("depth = 0").select("k", F.lit(0).cast("long").alias("w")))
 
 
 def descendants(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:

@@ -19,9 +19,15 @@ BLANKS = " \t\n\r\x0b\x0c ​﻿"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and all runs on this machine (tests).
+
+    RuntimeError on a cluster without one: a folder of the driver's machine would
+    not be seen by the executors.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="foliomill-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
