@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliomill.llm import people
+from foliomill.llm.people import Learnt
 from foliomill.llm.tape import Tape
 
 TYPES = ("email", "phone", "id_number", "address", "name")
@@ -150,7 +152,6 @@ _ADDRESS = re.compile(
     r")"
 )
 _TOWN = re.compile(rf"(?:\.?,[ \n]|\n)(?:\d{{5}} )?{_CAP}[\w'’-]+(?: \d{{5}})?")
-_NO_ADDRESS_AFTER = re.compile(r"\s+is named without")
 
 _SUR = rf"(?:(?:von|van|de|di|del|della|der|la|le|O'|Mc|Mac)[ ]?)?{_CAP}[\w'’]*{_LOW}[\w'’]*(?:-{_CAP}[\w'’]+)?"
 _UPP = rf"{_CAP}{{2,}}(?:['’-]{_CAP}+)*"
@@ -177,26 +178,40 @@ def _fold(word: str) -> str:
     return word.lower() if word.isascii() else unicodedata.normalize("NFD", word.lower()).translate(_STRIP)
 
 
-def _is_given(word: str) -> bool:
-    return word != "Signé" and (_fold(word) in _GIVEN or ("-" in word and _fold(word.partition("-")[0]) in _GIVEN))
+def _known(word: str, learnt: Learnt) -> bool:
+    """Whether a word is a given name of the list, or learnt as one."""
+    if word == "Signé":
+        return False
+    return _fold(word) in _GIVEN or ("-" in word and _fold(word.partition("-")[0]) in _GIVEN) or ("given", word) in learnt
 
 
-def _names(text: str) -> list[tuple[int, int]]:
-    """Spans of given and family names together, in any order."""
+def _plain_family(word: str) -> bool:
+    """Whether nothing speaks against a word as a family name."""
+    return len(word) > 2 and _fold(word) not in _COMMON and word.lower() not in people.NOT_PEOPLE
+
+
+def _names(text: str, details: list[tuple[int, int, str]], learnt: Learnt) -> list[tuple[int, int]]:
+    """Spans of known given names and family names together, in any order."""
     out: list[tuple[int, int]] = []
     tokens = [(m[0], m.start(), m.end()) for m in _TOKENS.finditer(text)]
     tokens = [(w[:-2], a, b - 2) if w.endswith(("'s", "’s")) else (w, a, b) for w, a, b in tokens]
+
+    def sure(family: str, a: int, b: int) -> bool:
+        """A family name of its own right: learnt, in capitals, or where a name is due."""
+        return _plain_family(family) and (family.isupper() or ("family", family) in learnt or people.in_slot(text, a, b) or people.beside(text, a, b, details))
+
     for i, (w, a, b) in enumerate(tokens):
-        if not _is_given(w) or (out and a < out[-1][1]):
+        if not _known(w, learnt) or (out and a < out[-1][1]):
             continue
         if text[a - 1 : a] in ("@", "+", "_", ".") and a or text[b : b + 1] in ("@", "+", "_") or (text[b : b + 1] == "." and text[b + 1 : b + 2].isalnum()):
             continue
-        if i and text[tokens[i - 1][2] : a] in (", ", ",\n", ","):  # Family, Given
+        if i and w[0].isupper() and text[tokens[i - 1][2] : a] in (", ", ",\n", ","):  # Family, Given
             f, fa, _ = tokens[i - 1]
-            follows = i + 1 < len(tokens) and text[b : tokens[i + 1][1]] == " " and tokens[i + 1][0][0].isupper() and _familyish(tokens[i + 1][0])
-            if (f.isupper() and len(f) > 2) or (f[0].isupper() and _familyish(f) and not follows):
-                m = _MORE_INITIALS.match(text, b)
-                out.append((fa, m.end() if m else b))
+            follows = i + 1 < len(tokens) and text[b : tokens[i + 1][1]] == " " and tokens[i + 1][0][0].isupper() and _plain_family(tokens[i + 1][0])
+            m = _MORE_INITIALS.match(text, b)
+            end = m.end() if m else b
+            if f[0].isupper() and (not follows or f.isupper()) and sure(f, fa, end):
+                out.append((fa, end))
                 continue
         j, end = i + 1, b
         while j < len(tokens) and len(tokens[j][0]) == 1 and tokens[j][0].isupper() and text[end : tokens[j][1]] in (" ", "\n") and text[tokens[j][2] : tokens[j][2] + 1] == ".":
@@ -206,36 +221,32 @@ def _names(text: str) -> list[tuple[int, int]]:
             continue
         f, fa, fb = tokens[j]
         gap = text[end:fa]
-        if not gap or gap.strip(" \t\n") or gap.count("\n") > 1 or len(f) < 2 or _fold(f) in _COMMON or _FIRM.match(text, fb):
+        if not gap or gap.strip(" \t\n") or gap.count("\n") > 1 or len(f) < 2 or _fold(f) in _COMMON or f.lower() in people.FIRMS or _FIRM.match(text, fb):
             continue
-        if (w[0].isupper() and f[0].isupper()) or (w.islower() and f.islower() and _familyish(f)):
-            if _is_given(f) and j + 1 < len(tokens) and text[fb : tokens[j + 1][1]] == " " and tokens[j + 1][0][0].isupper():
+        if (w[0].isupper() and f[0].isupper()) or (w.islower() and f.islower() and len(f) > 3 and sure(f, a, fb)):
+            if _known(f, learnt) and j + 1 < len(tokens) and text[fb : tokens[j + 1][1]] == " " and tokens[j + 1][0][0].isupper():
                 fb = tokens[j + 1][2]
             out.append((a, fb))
     return out
 
 
-_ENDING = re.compile(r"(?:itz|icz|elli|eaux|wright|thorne|aro|away|mond|brook|ery|ides|ovin|anko|olm|ølm|verveil|veil|son|sen|sson|mann|stein|berg|ski|ska|wicz|ova|ov|ez|es|ini|etti|oux|ault|ard|ley|ton|ford|ham|man|er|s)$")
-
-
-def _familyish(word: str) -> bool:
-    """Whether a word may be a family name by its form: not a common word, with an ending family names have."""
-    low = word.lower()
-    return len(low) > 4 and low not in _COMMON and bool(_ENDING.search(low))
-
-
 _DIGITS = re.compile(r"\d")
 # Which words must occur for a detector to have a chance.
 _WORDS_TITLE = frozenset(w.lower() for w in TITLES.split("|"))
 _WORDS_STREET = frozenset(w.lower().rstrip(".\\?/") for w in f"{STREETS_EN}|{STREETS_FR}|{STREETS_ES}|Am|An|Auf|Im|In|Unter|Zum|Zur".split("|"))
 _ENDS_STREET = tuple(w.rstrip("\\.") for w in STREETS_DE.split("|"))
 _WORDS_LABEL = frozenset(w.lower() for w in re.findall(r"[^\W\d_]{2,}", _ID_LABEL))
+#: Words that are no part of a name found by structure: common words, titles, labels.
+_NO_NAMES = _COMMON | people.SLOT_WORDS | _WORDS_TITLE | _WORDS_LABEL | frozenset(w.lower() for w in re.findall(r"[^\W\d_]{2,}", f"{CALLS}|{THINGS}|{PLACES}")) | frozenset("ok id ni dni ssn address adresse anschrift domicilio dirección delivered handwritten original reference please".split())
 _PLATE = re.compile(r"[A-ZÀ-Þ]\.")
+_TWO_WORDS = re.compile(r"[A-ZÀ-Þ][^\W\d_]+,?[ \n](?:[A-ZÀ-Þ]|[a-z'’]{1,5}[ A-Z])")
 
 
-def detect(text: str) -> list[tuple[int, int, str]]:
+def detect(text: str | None, learnt: Learnt = people.NONE) -> list[tuple[int, int, str]]:
     """Spans (start, end, type) of the personal details in a source text, in order, without overlap.
 
+    learnt: words of names learnt from the corpus (``learn``).
+
     Where details overlap the one found first counts, in the order email, id
     number, phone, address, name.  An empty or null text has none.
     """
@@ -278,7 +289,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             a, b = m.span()
             while t[b - 1] in " \n":
                 b -= 1
-            if not free(a, b) or _NO_ADDRESS_AFTER.match(t, b) or (t[a].isdigit() and _BEFORE_PLACE.search(t, max(0, a - 16), a)):
+            if not free(a, b) or (t[a].isdigit() and _BEFORE_PLACE.search(t, max(0, a - 16), a)):
                 continue
             town = _TOWN.match(t, b)
             if town and free(b, town.end()):
@@ -288,13 +299,18 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         for m in _TITLED.finditer(t):
             if free(*m.span()) and not _FIRM.match(t, m.end()):
                 found.append((m.start(), m.end(), "name"))
-    if not words.isdisjoint(_GIVEN):
-        for a, b in _names(t):
+    taught = bool(learnt.bits) and any(("given", w) in learnt for w in words)
+    if taught or not words.isdisjoint(_GIVEN):
+        for a, b in _names(t, found, learnt):
+            if free(a, b):
+                found.append((a, b, "name"))
+    if _TWO_WORDS.search(t):
+        for a, b in people.names(t, found, learnt if taught else people.NONE, _NO_NAMES):
             if free(a, b):
                 found.append((a, b, "name"))
     if _PLATE.search(t):
         for m in _INITIALS.finditer(t):
-            if free(*m.span()) and not _FIRM.match(t, m.end()) and m[0].rpartition(" ")[2].lower() not in _COMMON and (m["family"] is None or _familyish(m["family"])):
+            if free(*m.span()) and not _FIRM.match(t, m.end()) and m[0].rpartition(" ")[2].lower() not in _COMMON and (m["family"] is None or _plain_family(m["family"])):
                 found.append((m.start(), m.end(), "name"))
     found.sort()
     return [(*tape.source(a, b), kind) for a, b, kind in found]
@@ -309,7 +325,12 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(df: DataFrame, text_col: str, with_text: bool = True) -> DataFrame:
+def learn(df: DataFrame, text_col: str) -> Learnt:
+    """The words of names that stand in slots of the texts, for ``redact`` and ``detect``."""
+    return people.learn(df, text_col, _NO_NAMES)
+
+
+def redact(df: DataFrame, text_col: str, with_text: bool = True, learnt: Learnt = people.NONE) -> DataFrame:
     """df without text_col, with ``types`` (the sorted types found) and, with_text, ``masked``.
 
     A null text has null ``masked`` and no types.  Columns of df that have one of
@@ -318,11 +339,13 @@ def redact(df: DataFrame, text_col: str, with_text: bool = True) -> DataFrame:
     keep = [c for c in df.columns if c not in (text_col, "types", "masked")]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("types", T.ArrayType(T.StringType()))] + [T.StructField("masked", T.StringType())] * with_text)
 
+    shared = df.sparkSession.sparkContext.broadcast(learnt)  # of a size that people.BITS bounds
+
     def run(batches):
         for batch in batches:
             types, masked = [], []
             for text in batch.column(len(keep)).to_pylist():
-                spans = detect(text)
+                spans = detect(text, shared.value)
                 types.append(sorted({k for *_, k in spans}))
                 if with_text:
                     masked.append(None if text is None else mask(text, spans))

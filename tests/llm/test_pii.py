@@ -1,6 +1,6 @@
 import pytest
 
-from foliomill.llm import pii
+from foliomill.llm import people, pii
 
 CASES = [
     ("Send it to nadia+scans (at) inkworks (dot) example (dot) net now.", "Send it to [EMAIL] now."),
@@ -28,6 +28,12 @@ CASES = [
     ("Z​ofia Аrdaro wrote", "[NAME] wrote"),
     ("diagram label is missing a dot SALMA TAVAWAY, 030/23125-704", "diagram label is missing a dot [NAME], [PHONE]"),
     ("mail nadia at inkworks dot example dot net today", "mail [EMAIL] today"),
+    ("Call Ethan Walker on 00331990 024 18.", "Call [NAME] on [PHONE]."),
+    ("Priscilla Nakamura wrote to us.", "[NAME] wrote to us."),
+    ("Signed by Wei Zhang in column 2, cc Bo Lindqvist and Arjun Patel.", "Signed by [NAME] in column 2, cc [NAME] and [NAME]."),
+    ("Kenneth Ardaro, tel. 617-555-0102", "[NAME], tel. [PHONE]"),
+    ("Absender: Walker, Ethan", "Absender: [NAME]"),
+    ("per North Quay Savings Bank; ask Harrow Mill Archive. Call Ticket Office now.", None),
     ("", None),
 ]
 
@@ -88,3 +94,16 @@ def test_groups_of_other_numbers_are_no_identity_numbers():
     assert pii.detect("Tel. +49 123 45 6789") == [(5, 20, "phone")]
     assert pii.detect("Tel. 123 45 6789") == [(5, 16, "phone")]
     assert pii.detect("ORDER 123456, SHEET123456") == []
+
+
+def test_words_of_names_are_learnt(spark):
+    slots = [(f"Signed by {g} {f}.",) for g in ("Ethan", "Priscilla", "Wei") for f in ("Walker", "Nakamura", "Zhang")] + [("Signed by Grand Hotel Adlon.",), (None,), ("",), ("Asked by Wholly Unseen today.",)]
+    learnt = pii.learn(spark.createDataFrame(slots, "text string"), "text")
+    assert len(learnt.bits) == people.BITS // 8
+    assert ("given", "Ethan") in learnt and ("family", "ZHANG") in learnt and ("given", "Grand") not in learnt and ("given", "Wholly") not in learnt
+    for text, found in (("In the margin Ethan Zhangson sits.", ["Ethan Zhangson"]), ("margin: ethan walker", ["ethan walker"]), ("Walker, Ethan - smeared", ["Walker, Ethan"]), ("Ethan Mill is closed. Ethan Street.", [])):
+        assert [text[a:b] for a, b, _ in pii.detect(text, learnt)] == found
+        assert pii.detect(text) == []
+    assert pii.learn(spark.createDataFrame([], "text string"), "text").bits == bytes(people.BITS // 8)
+    df = spark.createDataFrame([("In the margin Ethan Zhangson sits.",)], "text string")
+    assert [tuple(r) for r in pii.redact(df, "text", learnt=learnt).collect()] == [(["name"], "In the margin [NAME] sits.")]
