@@ -47,12 +47,12 @@ _FAMILY = rf"{_PART}(?:{CAP}[\w'’]*{LOW}[\w'’]*(?:-{CAP}[\w'’]+)?|{CAP}{{2
 _INITIALS = rf"(?:{CAP}\.[ ]?)*"
 _NAME = rf"(?P<g>{_GIVEN})[ \n]{_INITIALS}(?P<f>{_FAMILY})|(?P<f2>{_FAMILY}),[ ](?P<g2>{_GIVEN})(?:[ ]{CAP}\.)*"
 _verbose = lambda x: x.replace("\n", "")
-_BEFORE = re.compile(rf"(?<![^\W_])(?i:{_verbose(BEFORE)})(?i:[ ]?:)?[ \n](?:{_NAME})(?![\w@]|-\w)")
-_AFTER = re.compile(rf"(?<![\w@.+-])(?:{_NAME})(?:'s)?(?=[ ,;\n][ ]?(?i:{_verbose(AFTER)})(?![\w]))")
 _LEADS = re.compile(rf"(?<![^\W_])(?:{_verbose(BEFORE)})(?:[ ]?:)?[ \n]$", re.I)
 _FOLLOWS = re.compile(rf"(?:'s)?[ ,;\n][ ]?(?:{_verbose(AFTER)})(?![\w])", re.I)
-_AND = re.compile(rf"(?:,| and| und| et| y| e| &|/)[ \n](?:{_NAME})(?![\w@]|-\w)")
-_ANYWHERE = re.compile(rf"(?<![\w@.+-])(?:{_NAME})(?![\w@]|-\w)")
+_AND = re.compile(r"(?:,| and| und| et| y| e| &|/)[ \n]")
+#: Two words that begin like a name; cheap, as it begins with a set of characters.
+_CAPITALS = re.compile(rf"{CAP}[^\W\d_][\w'’-]*,?[ \n](?={CAP}|d'|(?:von|van|de|di|del|della|der|la|le|el|bin|al)[ ])")
+_HERE = re.compile(rf"(?:{_NAME})(?![\w@]|-\w)")
 _BESIDE = re.compile(r"[\s,;:/()<–-]*(?:(?:[^\W\d_]+\.?:?|n°|[^\W\d_]+-[^\W\d_]+)[\s:,(]+){0,3}")
 _END = re.compile(r"[.!?]\s+[A-ZÀ-Þ]")
 
@@ -70,6 +70,8 @@ class Learnt:
 
     def __init__(self, bits: bytes = b""):
         self.bits, self._seen = bits, {}
+        self._given: set[str] = set()
+        self._others: set[str] = set()
 
     def __contains__(self, word: tuple[str, str]) -> bool:
         if not self.bits:
@@ -81,6 +83,19 @@ class Learnt:
             known = self._seen[word] = all(self.bits[b >> 3] >> (b & 7) & 1 for b in marks(*word))
         return known
 
+    def any_given(self, words: set[str]) -> bool:
+        """Whether one of the lower-case words is a learnt given name."""
+        if not self.bits:
+            return False
+        fresh = words - self._others
+        if fresh <= self._given:
+            return bool(fresh)
+        if len(self._others) >= 1 << 17:
+            self._others.clear()
+        for w in fresh - self._given:
+            (self._given if ("given", w) in self else self._others).add(w)
+        return not self._given.isdisjoint(fresh)
+
 
 NONE = Learnt()
 
@@ -105,10 +120,23 @@ def _parts(m: re.Match) -> tuple[str, str, int, int]:
     return (given, m["f"] or m["f2"], m.start("g") if m["g"] else m.start("f2"), m.end())
 
 
+def pairs(text: str, common: frozenset[str]):
+    """(given, family, start, end) of all that may be names by their form."""
+    at = 0
+    while hit := _CAPITALS.search(text, at):
+        at = hit.start()
+        if at and (text[at - 1].isalnum() or text[at - 1] in "_@.+-"):
+            at += 1
+            continue
+        m = _HERE.match(text, at)
+        at = hit.end()  # the second word may begin a name too
+        if m and _fits(*_parts(m)[:2], text, m.end(), common):
+            yield _parts(m)
+
+
 def slots(text: str, common: frozenset[str]) -> list[tuple[str, str, int, int]]:
     """(given, family, start, end) of the names in slots of the text."""
-    found = [_parts(m) for pattern in (_BEFORE, _AFTER) for m in pattern.finditer(text)]
-    return [x for x in found if _fits(x[0], x[1], text, x[3], common)]
+    return [x for x in pairs(text, common) if in_slot(text, x[2], x[3])]
 
 
 def in_slot(text: str, a: int, b: int) -> bool:
@@ -123,19 +151,12 @@ def beside(text: str, a: int, b: int, details: list[tuple[int, int, str]]) -> bo
 
 def names(text: str, details: list[tuple[int, int, str]], learnt: Learnt, common: frozenset[str]) -> list[tuple[int, int]]:
     """Spans of names: in slots, beside details, of learnt words, or joined to such a name by "and"."""
-    out = [(a, b) for _, _, a, b in slots(text, common)]
-    if learnt.bits or any(kind != "name" for *_, kind in details):
-        for m in _ANYWHERE.finditer(text):
-            given, family, a, b = _parts(m)
-            if not _fits(given, family, text, b, common):
-                continue
-            known = ("given", given) in learnt and (m["g"] or ("family", family.split(" ")[-1]) in learnt)
-            if known or beside(text, a, b, details):
-                out.append((a, b))
-    for _, b in out:  # grows as it goes
-        m = _AND.match(text, b)
-        if m and _fits(*_parts(m)[:2], text, m.end(), common) and all(m.end() != y for _, y in out):
-            out.append((_parts(m)[2], m.end()))
+    out: list[tuple[int, int]] = []
+    for given, family, a, b in pairs(text, common):
+        known = learnt.bits and ("given", given) in learnt and (text.startswith(given, a) or ("family", family.split(" ")[-1]) in learnt)
+        joined = out and a > out[-1][1] and bool(_AND.fullmatch(text, out[-1][1], a))
+        if known or joined or in_slot(text, a, b) or beside(text, a, b, details):
+            out.append((a, b))
     return out
 
 

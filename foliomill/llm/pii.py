@@ -299,7 +299,7 @@ def detect(text: str | None, learnt: Learnt = people.NONE) -> list[tuple[int, in
         for m in _TITLED.finditer(t):
             if free(*m.span()) and not _FIRM.match(t, m.end()):
                 found.append((m.start(), m.end(), "name"))
-    taught = bool(learnt.bits) and any(("given", w) in learnt for w in words)
+    taught = learnt.any_given(words)
     if taught or not words.isdisjoint(_GIVEN):
         for a, b in _names(t, found, learnt):
             if free(a, b):
