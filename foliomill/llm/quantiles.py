@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from foliomill.session import Shelf
 
 #: A search with at most so many values left is ranked in one window.
-DIRECT = 2000
+DIRECT = 32
 
 #: The values still in question; a null bound is open.
 _INSIDE = "(lo is null or v > lo) and (hi is null or v < hi)"
@@ -37,31 +37,39 @@ def multi_select(values: DataFrame, groups: list[str], value: str, qs: list[floa
 
     Null and NaN values don't count; a group without values is left out; null
     group keys form groups of their own.  No group is gathered in one task.
+
+    The values are written once, each with its group's number.  A round joins
+    them to the open searches, whose number doesn't depend on that of the values,
+    and keeps a value once per search it is still in question for; from the first
+    pivots on these are a part of the values that shrinks by a factor per round.
     """
     spark = values.sparkSession
     shelf = Shelf(spark, "multiselect")
-    key = F.to_json(F.struct(*groups))
+    key = F.xxhash64(F.to_json(F.struct(*groups)))
     v = F.col(value).cast("double")
-    vals = shelf.put(values.where(v.isNotNull() & ~F.isnan(v)).select(key.alias("g"), *groups, v.alias("v")), "values")
-    sizes = shelf.put(vals.groupBy("g").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in groups)), "sizes")
+    named = values.where(v.isNotNull() & ~F.isnan(v)).select(*groups, v.alias("v"))
+    sizes = shelf.put(named.groupBy(*groups).agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("g"), key.alias("h"), *groups, "n"), "sizes")
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"x.{c}")) for c in groups]
+    keyed = named.withColumn("h", key).alias("x").join(sizes.select("g", "h", *groups).alias("k"), [F.col("k.h") == F.col("x.h"), *same])
+    vals = shelf.put(keyed.select("k.g", "x.v"), "values")
     none = F.lit(None).cast("double")
     search = sizes.select("g", "n", F.explode(F.array(*(F.struct(F.lit(i).alias("qi"), _rank(q).alias("k")) for i, q in enumerate(qs)))).alias("x")).select("g", "x.qi", "x.k", none.alias("lo"), none.alias("hi"), F.col("n").alias("left"), none.alias("found"))
-    search = shelf.put(search, "search0")
-    live = shelf.put(search.join(vals.select("g", "v"), "g").select("g", "qi", "v"), "live0")
-    done, i = [_direct(live, search.where(F.col("left") <= direct))], 0
+    search, i = shelf.put(search, "search0"), 0
+    done = [_direct(vals, search.where(F.col("left") <= direct), ["g"])]
     open_ = search.where(F.col("left") > direct)
+    live = vals  # until the first pivots divide them, the values of a group are in question for all its searches alike
     while not open_.isEmpty():
-        live = live.join(open_.select("g", "qi", "lo", "hi"), ["g", "qi"]).where(_INSIDE).select("g", "qi", "v")
-        live = shelf.put(live, f"live{i + 1}")
+        per = ["g"] if i == 0 else ["g", "qi"]
+        if i:
+            live = shelf.put(live.join(open_.select("g", "qi", "lo", "hi"), ["g"] if i == 1 else per).where(_INSIDE).select("g", "qi", "v"), f"live{i}")
         # proposals: the median of each task's share, weighted by its size
-        local = live.groupBy(F.spark_partition_id().alias("task"), "g", "qi").agg(F.percentile_approx("v", F.lit(0.5), F.lit(200)).alias("m"), F.count("*").alias("w"))
-        order = W.partitionBy("g", "qi").orderBy("m", "task").rowsBetween(W.unboundedPreceding, 0)
-        sums = local.withColumn("c", F.sum("w").over(order)).withColumn("all", F.sum("w").over(W.partitionBy("g", "qi")))
-        pivot = shelf.put(sums.where("2 * c >= all").groupBy("g", "qi").agg(F.min("m").alias("p")), f"pivot{i}")
+        local = (live if i else live.join(open_.select("g").distinct(), "g", "left_semi")).groupBy(F.spark_partition_id().alias("task"), *per).agg(F.percentile_approx("v", F.lit(0.5), F.lit(200)).alias("m"), F.count("*").alias("w"))
+        sums = local.withColumn("c", F.sum("w").over(W.partitionBy(*per).orderBy("m", "task").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("w").over(W.partitionBy(*per)))
+        pivot = shelf.put(sums.where("2 * c >= all").groupBy(*per).agg(F.min("m").alias("p")), f"pivot{i}")
         # three-way counts, combined in each task before the shuffle
-        count = live.join(pivot, ["g", "qi"]).groupBy("g", "qi", "p").agg(F.count_if(F.col("v") < F.col("p")).alias("lt"), F.count_if(F.col("v") == F.col("p")).alias("eq"), F.count("*").alias("all"))
+        count = live.join(pivot, per).groupBy(*per, "p").agg(F.count_if(F.col("v") < F.col("p")).alias("lt"), F.count_if(F.col("v") == F.col("p")).alias("eq"), F.count("*").alias("all"))
         below, here = F.col("k") <= F.col("lt"), F.col("k") <= F.col("lt") + F.col("eq")
-        nxt = open_.drop("left", "found").join(count, ["g", "qi"]).select(
+        nxt = open_.drop("left", "found").join(count, per).select(
             "g",
             "qi",
             F.when(here, F.col("k")).otherwise(F.col("k") - F.col("lt") - F.col("eq")).alias("k"),
@@ -73,18 +81,18 @@ def multi_select(values: DataFrame, groups: list[str], value: str, qs: list[floa
         i += 1
         search = shelf.put(nxt, f"search{i}")
         done.append(search.where("found is not null").select("g", "qi", F.col("found").alias("v")))
-        done.append(_direct(live, search.where((F.col("left") <= direct) & F.col("found").isNull())))
+        done.append(_direct(live, search.where((F.col("left") <= direct) & F.col("found").isNull()), per))
         open_ = search.where((F.col("left") > direct) & F.col("found").isNull())
     found = done[0]
     for part in done[1:]:
         found = found.unionByName(part)
     wide = found.groupBy("g").agg(*(F.max(F.when(F.col("qi") == j, F.col("v"))).alias(f"q{q * 100:g}".replace(".", "_")) for j, q in enumerate(qs)))
-    return sizes.join(wide, "g").drop("g")
+    return sizes.join(wide, "g").drop("g", "h")
 
 
-def _direct(live: DataFrame, search: DataFrame) -> DataFrame:
+def _direct(live: DataFrame, search: DataFrame, per: list[str]) -> DataFrame:
     """g, qi, v: the k-th smallest of the few values left in each search."""
-    near = live.join(search.select("g", "qi", "k", "lo", "hi"), ["g", "qi"]).where(_INSIDE)
+    near = live.join(search.select("g", "qi", "k", "lo", "hi"), per).where(_INSIDE)
     return near.withColumn("at", F.row_number().over(W.partitionBy("g", "qi").orderBy("v"))).where("at = k").select("g", "qi", "v")
 
 

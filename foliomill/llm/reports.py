@@ -98,7 +98,8 @@ def p4_sketches(spark: SparkSession, d: str) -> DataFrame:
 def p4_merged(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles per image model and measure over all days, from the days' summaries, within 1 percent."""
     coarse = ["image_model", "measure"]
-    return quantiles.sketch_percentiles(quantiles.merge(p4_sketches(spark, d), coarse), coarse, [0.5, 0.9])
+    out = quantiles.sketch_percentiles(quantiles.merge(p4_sketches(spark, d), coarse), coarse, [0.5, 0.9])
+    return out.select(*coarse, "n", F.round("q50", 4).alias("q50"), F.round("q90", 4).alias("q90"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_incremental, p4_found, p4_percentiles, p4_sketches, p4_merged)}
@@ -126,3 +127,9 @@ SQL = {
     "p4_percentiles": _MEASURES + f"select image_model, day, measure, count(*) as n, {', '.join(f'{_AT(q)} as q{q * 100:g}' for q in (0.25, 0.5, 0.75, 0.9, 0.99))} from y group by all",
 }
 SQL["p1_incremental"] = SQL["p1_scores"]
+_SKETCH = _MEASURES + """, b as (select image_model, day, measure, cast(case when abs(v) < 1e-300 then 0 else sign(v) end as int) as sign, cast(case when abs(v) < 1e-300 then 0 else ceil(ln(least(abs(v), 1.7e308)) / ln(1.01::double / 0.99::double)) end as int) as bucket from y)
+"""
+SQL["p4_sketches"] = _SKETCH + "select image_model, day, measure, sign, bucket, count(*) as n from b group by all"
+SQL["p4_merged"] = _SKETCH + """, c as (select image_model, measure, sign, bucket, count(*) as n from b group by all),
+d as (select *, case when sign = 0 then 0.0::double else sign * (2.0::double / (1.01::double / 0.99::double + 1)) * pow(1.01::double / 0.99::double, bucket) end as mid, sum(n) over (partition by image_model, measure order by sign * bucket + sign * 16777216) as c, sum(n) over (partition by image_model, measure) as total from c)
+select image_model, measure, cast(max(total) as bigint) as n, round(min(mid) filter (c >= ceil(0.5::double * total - 1e-9)), 4) as q50, round(min(mid) filter (c >= ceil(0.9::double * total - 1e-9)), 4) as q90 from d group by all"""

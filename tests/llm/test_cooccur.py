@@ -3,8 +3,10 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
+from foliomill.llm import cooccur
 from foliomill.llm.cooccur import PairTable, item_text
 from foliomill.llm.reports import BASKETS, p1_incremental, p1_scores
 
@@ -46,26 +48,51 @@ def test_increments_match_brute_force(spark, tmp_path):
 
 def test_only_touched_buckets_are_rewritten(spark, tmp_path):
     pairs = table(spark, tmp_path)
-    pairs.merge(spark.createDataFrame([(None, [f"i{k}" for k in range(12)])], SCHEMA))
+    pairs.merge(spark.createDataFrame([(None, [f"i{k}" for k in range(12)]), (None, ["i1"])], SCHEMA))
     before = pairs._manifest()["buckets"]
-    delta = pairs.merge(spark.createDataFrame([(None, ["i1"])], SCHEMA))
+    delta = pairs.merge(spark.createDataFrame([(["i1"], ["i2"])], SCHEMA))
     after = pairs._manifest()["buckets"]
     assert 0 < sum(before[b] != after[b] for b in after) < len(after)
     hit = {(r.a, r.b) for r in pairs.scores(delta).collect()}
-    assert hit == {("i1", f"i{k}") if "i1" < f"i{k}" else (f"i{k}", "i1") for k in range(12) if k != 1}
+    every = set(combinations(sorted(f"i{k}" for k in range(12)), 2))
+    assert hit == {p for p in every if "i1" in p or "i2" in p}
+    delta = pairs.merge(spark.createDataFrame([(None, ["i1"])], SCHEMA))  # one basket more: every score changes
+    assert {(r.a, r.b) for r in pairs.scores(delta).collect()} == every
 
 
-def test_failed_merge_keeps_old_state(spark, tmp_path):
+@pytest.mark.parametrize("stop", ["write", "rename", "clean"])
+def test_a_merge_that_stops_leaves_a_whole_state(spark, tmp_path, stop, monkeypatch):
     pairs = table(spark, tmp_path)
     pairs.merge(spark.createDataFrame([(None, ["a", "b"])], SCHEMA))
     old = counts(pairs)
-    pairs._commit, keep = (lambda state: (_ for _ in ()).throw(OSError())), pairs._commit
-    try:
+
+    def fail(*_):
+        if stop == "rename":  # the new manifest is written but not yet renamed
+            pairs._fs.create(pairs._jpath(f"{pairs.path}/manifest.new"), True).close()
+        raise OSError(stop)
+
+    monkeypatch.setattr(pairs, "_clean" if stop == "clean" else "_commit", fail)
+    with pytest.raises(OSError):
         pairs.merge(spark.createDataFrame([(None, ["a", "c"])], SCHEMA))
-    except OSError:
-        pass
-    pairs._commit = keep
-    assert counts(pairs) == old
+    monkeypatch.undo()
+    again = table(spark, tmp_path)
+    assert counts(again) == (old if stop != "clean" else brute([["a", "b"], ["a", "c"]]))
+    again.merge(spark.createDataFrame([(None, ["b", "c"])], SCHEMA))
+    assert counts(again) == brute([["a", "b"], ["b", "c"]] + [["a", "c"]] * (stop == "clean"))
+
+
+def test_buckets_grow_and_old_files_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cooccur, "FILE_BYTES", 1 << 10)
+    pairs, now = table(spark, tmp_path), []
+    for k in range(5):
+        fresh = [[f"i{j}" for j in range(k, k + 9)] for _ in range(2)]
+        now += fresh
+        pairs.merge(spark.createDataFrame([(None, b) for b in fresh], SCHEMA))
+        assert counts(pairs) == brute(now)
+    state = pairs._manifest()
+    assert state["n"] > 4 and len(pairs._manifests()) == 2
+    kept = {(p.name[7:], int(p.parent.name[4:])) for p in (tmp_path / "pairs").glob("gen=*/bucket=*")}
+    assert set(state["buckets"].items()) <= kept and len(list((tmp_path / "pairs").glob("delta=*"))) == 2
 
 
 def test_scores_and_empty(spark, tmp_path):
