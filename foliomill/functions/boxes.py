@@ -154,3 +154,12 @@ def pixels(x: Box, width: Column, height: Column) -> Box:
     """The box as a pixel window inside the page, rounded half to even; empty where nothing of it is on the page."""
     at = lambda c, n: between(F.rint(c * n), F.lit(0.0), n.cast("double")).cast("int")
     return Box(at(x.l, width), at(x.t, height), at(x.r, width), at(x.b, height))
+
+
+def best_tile(x: Box, width: int, height: int) -> Column:
+    """The quarter view, 1 to 4, that shares most area with the box; the first of equal ones."""
+    views = [F.element_at(tiles(F.lit(width), F.lit(height)), i + 1) for i in range(1, 5)]
+    common = [shared(x, Box(v["l"] / float(width), v["t"] / float(height), v["r"] / float(width), v["b"] / float(height))) for v in views]
+    areas = [F.round(w * h, 9) for w, h in common]
+    best = F.greatest(*areas)
+    return F.coalesce(*(F.when(a == best, F.lit(i)) for i, a in enumerate(areas, 1)))

@@ -58,3 +58,17 @@ def nearest_free(lists: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pandas(frame, schema=pa.schema([("run_id", pa.string()), ("id", pa.int32()), ("match", pa.int32())]), preserve_index=False)
 
     return lists.mapInArrow(run, "run_id string, id int, match int")
+
+
+def first_targets(items: Column) -> Column:
+    """The boxes of a list that mean different defects, each the first of its defect: an ordered union without repeats.
+
+    items: an array of structs with l, t, r, b, such as the concatenation of two
+    detectors' lists; null elements are left out, a null list gives null.
+    """
+
+    def of(x: Column) -> bx.Box:
+        return bx.Box(x["l"], x["t"], x["r"], x["b"])
+
+    plain = F.transform(F.filter(items, lambda x: x.isNotNull()), lambda x: F.struct(*(x[c].alias(c) for c in "ltrb")))
+    return F.aggregate(plain, F.expr(f"cast(array() as {_BOXES})"), lambda kept, x: F.when(F.exists(kept, lambda k: bx.same_target(of(x), of(k))), kept).otherwise(F.concat(kept, F.array(x))))

@@ -54,9 +54,49 @@ def _completed() -> F.Column:
     return vd.completed(*map(F.col, _FLAGS))
 
 
-def page_verdicts(views: DataFrame, tolerated: tuple[str, ...] = ()) -> DataFrame:
+def _covered(x: F.Column) -> F.Column:
+    """Whether a finding is one of quality inside one of the view's panels."""
+    r = x["region"]
+    return (x["category"] == vd.QUALITY) & F.exists("panels", lambda p: (r["l"] >= p["l"]) & (r["t"] >= p["t"]) & (r["r"] <= p["r"]) & (r["b"] <= p["b"]))
+
+
+def preserved(views: DataFrame, panels: DataFrame) -> DataFrame:
+    """views without the quality findings inside panels that source and candidate share.
+
+    panels: page_id, view_idx, panels (array of l, t, r, b).  A view rejected for
+    nothing but quality, all of it inside panels, is accepted; elsewhere flags that
+    say no get their finding first, so a covered one can't be made up again.
+    """
+    rows = views.join(panels, ["page_id", "view_idx"], "left").withColumn("panels", F.coalesce("panels", F.expr(f"cast(array() as array<{vd.REGION}>)")))
+    flags = [F.col(c) for c in _FLAGS]
+    clear = vd.quality_only(*flags) & (F.size("found") > 0) & F.forall("found", _covered)
+    left = F.filter(_completed(), lambda x: ~_covered(x))
+    # what is left is the whole verdict: its flags are set so that nothing is completed twice
+    v = F.when(clear, F.struct(F.lit(True).alias("content_match"), F.lit(True).alias("scanner_quality"), vd.none().alias("found"))).otherwise(F.struct(F.lit(True).alias("content_match"), F.lit(True).alias("scanner_quality"), left.alias("found")))
+    return rows.select("page_id", "view_idx", v.alias("v")).select("page_id", "view_idx", "v.*")
+
+
+def incremental(calls: DataFrame, regions: DataFrame, width: int, height: int, tolerated: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, tile, accepted: a repaired page, judged by the whole page and the tile that shares most area with the repair.
+
+    regions: page_id, l, t, r, b.  A call is content with a view if the content
+    matches, or if it has findings and tolerates them all; a view passes by its
+    first or second call.  A view without calls doesn't pass.
+    """
+    tile = bx.best_tile(bx.box(), width, height)
+    wanted = regions.select("page_id", tile.alias("tile"))
+    content = lambda c: F.coalesce(F.col(f"{c}.content_match") | ((F.size(F.col(f"{c}.found")) > 0) & F.forall(F.col(f"{c}.found"), lambda x: x["category"].isin(*tolerated))), F.lit(False))
+    views = by_view(calls).select("page_id", "view_idx", (content("c1") | content("c2")).alias("ok"))
+    both = wanted.join(views, "page_id", "left").where(F.col("view_idx").isNull() | F.col("view_idx").isin(0) | (F.col("view_idx") == F.col("tile")))
+    kept = both.groupBy("page_id", "tile").agg((F.count_if("ok") == 2).alias("accepted"))
+    return wanted.join(kept.select("page_id", "accepted"), "page_id", "left").select("page_id", "tile", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+
+
+def page_verdicts(views: DataFrame, tolerated: tuple[str, ...] = (), all_views: bool = False) -> DataFrame:
     """page_id, accepted, rejected_view, views_read, n_actionable, n_tolerated: views in order, up to the first that is rejected.
 
+    With all_views every view is read, and all their actionable findings count.
+
     A view is rejected if a finding of a category that isn't tolerated remains;
     flags that say no without a finding count as one.  n_tolerated counts the
     tolerated findings of accepted pages.
@@ -71,8 +111,8 @@ def page_verdicts(views: DataFrame, tolerated: tuple[str, ...] = ()) -> DataFram
         "page_id",
         bad.isNull().alias("accepted"),
         "rejected_view",
-        F.size(F.filter("xs", lambda x: bad.isNull() | (x["view_idx"] <= bad))).alias("views_read"),
-        total(lambda x: x["view_idx"] == bad, lambda x: x["a"]).alias("n_actionable"),
+        F.size(F.filter("xs", lambda x: F.lit(all_views) | bad.isNull() | (x["view_idx"] <= bad))).alias("views_read"),
+        total(lambda x: F.lit(all_views) | (x["view_idx"] == bad), lambda x: x["a"]).alias("n_actionable"),
         F.when(bad.isNull(), total(lambda x: F.lit(True), lambda x: x["n"])).otherwise(F.lit(0)).alias("n_tolerated"),
     )
 

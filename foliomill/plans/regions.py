@@ -21,7 +21,8 @@ KEY = ["run_id", "page_no", "attempt_no", "disc_no"]
 
 
 def category(c) -> F.Column:
-    return F.regexp_replace(F.lower(F.trim(c)), "[ -]", "_")
+    """Trimmed of all white space, lower-case, hyphens and inner white space as underscores."""
+    return F.regexp_replace(F.lower(F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", "")), r"[\s\u00a0\-]", "_")
 
 
 def rank(c) -> F.Column:
@@ -105,17 +106,7 @@ def same_quality_target_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def best_overlap_tile(spark: SparkSession, d: str) -> DataFrame:
     """The quarter view, 1 to 4, that shares most area with the box; the first of equal ones."""
-    w, h = 2480.0, 3508.0
-    x = bx.box()
-
-    def area(i: int):
-        v = F.element_at(bx.tiles(F.lit(2480), F.lit(3508)), i + 1)
-        common = bx.shared(x, bx.Box(v["l"] / w, v["t"] / h, v["r"] / w, v["b"] / h))
-        return F.round(common[0] * common[1], 9)
-
-    areas = [area(i) for i in range(1, 5)]
-    best = F.greatest(*areas)
-    return discrepancies(spark, d).select(*KEY, F.coalesce(*(F.when(a == best, F.lit(i)) for i, a in enumerate(areas, 1))).alias("tile"))
+    return discrepancies(spark, d).select(*KEY, bx.best_tile(bx.box(), 2480, 3508).alias("tile"))
 
 
 def quality_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -127,6 +118,17 @@ def quality_targets(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(*KEY[:3], F.posexplode("kept").alias("i", "x")).select(*KEY[:3], (F.col("i") + 1).alias("target_no"), *bx.Box(*(F.col("x")[c] for c in "ltrb")).scaled())
 
 
+def combined_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Per run the boxes of two detectors (restored, then source boxes) that mean different defects, in order."""
+    late = F.lit("0001-01-01").cast("timestamp")
+    rows = table(spark, d, "lab_issues").where("run_id is not null and id is not null").groupBy("run_id", "id").agg(F.max_by(F.struct("restored_box", "source_box"), F.coalesce("reviewed_at", late)).alias("x"))
+    sides = rows.select("run_id", "id", F.posexplode(F.array("x.restored_box", "x.source_box")).alias("side", "q")).where("q.x0 is not null and q.y0 is not null and q.x1 is not null and q.y1 is not null")
+    item = F.struct("side", "id", F.col("q.x0").alias("l"), F.col("q.y0").alias("t"), F.col("q.x1").alias("r"), F.col("q.y1").alias("b"))
+    lists = sides.groupBy("run_id").agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    kept = lists.select("run_id", folds.first_targets(F.col("xs")).alias("kept"))
+    return kept.select("run_id", F.posexplode("kept").alias("i", "x")).select("run_id", (F.col("i") + 1).alias("place"), *bx.Box(*(F.col("x")[c] for c in "ltrb")).scaled())
+
+
 def context_matches(spark: SparkSession, d: str) -> DataFrame:
     """run_id, id, match: each issue's box matched to the nearest source box of its run that is still free, in order of ids."""
     rows = table(spark, d, "lab_issues").where("run_id is not null and id is not null").groupBy("run_id", "id").agg(F.max_by(F.struct("restored_box", "source_box"), F.coalesce("reviewed_at", F.lit("0001-01-01").cast("timestamp"))).alias("x")).select("run_id", "id", "x.*")
@@ -152,6 +154,7 @@ QUERIES = {
     "best_overlap_tile": best_overlap_tile,
     "quality_targets": quality_targets,
     "context_matches": context_matches,
+    "combined_regions": combined_regions,
 }
 
 _BASE = """with latest as (select * from (select *, row_number() over (partition by run_id order by received_at desc nulls last) as rn from reports) where rn = 1),
@@ -209,4 +212,29 @@ case when {_OA} = 'local' then least((a.r-a.l)*(a.b-a.t), (b.r-b.l)*(b.b-b.t)) >
  else {_CH} >= least(a.b-a.t, b.b-b.t) * 0.5 and {_CW} >= least(a.r-a.l, b.r-b.l) * 0.5 end""",
     "best_overlap_tile": _BASE + f""", y as (select {_K}, view, round(greatest(0.0, least(r, vr / 2480.0) - greatest(l, vl / 2480.0)) * greatest(0.0, least(b, vb / 3508.0) - greatest(t, vt / 3508.0)), 9) as area from x, ({_TILES}) where view > 0)
 select {_K}, cast(view as int) as tile from (select *, row_number() over (partition by {_K} order by area desc, view) as rn from y) where rn = 1""",
+    "combined_regions": f"""with recursive i as (select run_id, id, unnest([0, 1]) as side, unnest([restored_box, source_box]) as q from (select *, row_number() over (partition by run_id, id order by reviewed_at desc nulls last) as rn from lab_issues where run_id is not null and id is not null) where rn = 1),
+b as (select run_id, q.x0 as l, q.y0 as t, q.x1 as r, q.y1 as b, row_number() over (partition by run_id order by side, id) as k from i where q.x0 is not null and q.y0 is not null and q.x1 is not null and q.y1 is not null),
+f as (select distinct run_id, cast(0 as bigint) as k, cast([] as struct(l double, t double, r double, b double)[]) as kept from b
+ union all select f.run_id, f.k + 1, case when len(list_filter(kept, lambda a: {_OA} = {_OB} and case when {_OA} = 'local' then least((a.r-a.l)*(a.b-a.t), (b.r-b.l)*(b.b-b.t)) > 0 and {_CW} * {_CH} >= least((a.r-a.l)*(a.b-a.t), (b.r-b.l)*(b.b-b.t)) * 0.6
+  else {_CH} >= least(a.b-a.t, b.b-b.t) * 0.5 and {_CW} >= least(a.r-a.l, b.r-b.l) * 0.5 end)) = 0 then list_append(kept, struct_pack(l := b.l, t := b.t, r := b.r, b := b.b)) else kept end from f join b on b.run_id = f.run_id and b.k = f.k + 1),
+z as (select run_id, kept from f qualify row_number() over (partition by run_id order by k desc) = 1),
+y as (select run_id, unnest(kept) as x, cast(unnest(range(1, 1 + len(kept))) as int) as place from z)
+select run_id, place, {_ints(l='x.l', t='x.t', r='x.r', b='x.b')} from y""",
+    "quality_targets": _BASE.replace("with latest", "with recursive latest") + _QUALITY + f""", z as (select q.*, x.rank, row_number() over (partition by q.run_id, q.page_no, q.attempt_no order by x.rank desc, q.disc_no) as k from q join x using ({_K}) where {_SHAPE.replace('r-l', 'q.r-q.l').replace('b-t', 'q.b-q.t')}),
+f as (select distinct run_id, page_no, attempt_no, cast(0 as bigint) as k, cast([] as struct(l double, t double, r double, b double)[]) as kept from z
+ union all select f.run_id, f.page_no, f.attempt_no, f.k + 1, case when len(kept) >= 8 then kept when list_position(hits, true) is null or list_position(hits, true) = 0 then list_append(kept, struct_pack(l := nl, t := nt, r := nr, b := nb))
+  else list_transform(kept, lambda a, i: case when i = list_position(hits, true) and (nr - nl) * (nb - nt) > (a.r - a.l) * (a.b - a.t) then struct_pack(l := nl, t := nt, r := nr, b := nb) else a end) end
+ from (select f.*, b.l as nl, b.t as nt, b.r as nr, b.b as nb, list_transform(kept, lambda a: {_OA} = {_OB} and case when {_OA} = 'local' then least((a.r-a.l)*(a.b-a.t), (b.r-b.l)*(b.b-b.t)) > 0 and {_CW} * {_CH} >= least((a.r-a.l)*(a.b-a.t), (b.r-b.l)*(b.b-b.t)) * 0.6
+  else {_CH} >= least(a.b-a.t, b.b-b.t) * 0.5 and {_CW} >= least(a.r-a.l, b.r-b.l) * 0.5 end) as hits from f join z b on b.run_id = f.run_id and b.page_no = f.page_no and b.attempt_no = f.attempt_no and b.k = f.k + 1) f),
+e as (select run_id, page_no, attempt_no, kept from f qualify row_number() over (partition by run_id, page_no, attempt_no order by k desc) = 1),
+y as (select run_id, page_no, attempt_no, unnest(kept) as x, cast(unnest(range(1, 1 + len(kept))) as int) as target_no from e)
+select run_id, page_no, attempt_no, target_no, {_ints(l='x.l', t='x.t', r='x.r', b='x.b')} from y""",
+    "context_matches": """with recursive i as (select run_id, id, restored_box as d, source_box as c from (select *, row_number() over (partition by run_id, id order by reviewed_at desc nulls last) as rn from lab_issues where run_id is not null and id is not null) where rn = 1),
+s as (select run_id, list(struct_pack(id := id, x := (c.x0 + c.x1) / 2, y := (c.y0 + c.y1) / 2) order by id) as free from i where c.x0 is not null and c.y0 is not null and c.x1 is not null and c.y1 is not null group by 1),
+b as (select run_id, id, (d.x0 + d.x1) / 2 as x, (d.y0 + d.y1) / 2 as y, row_number() over (partition by run_id order by id) as k from i where d.x0 is not null and d.y0 is not null and d.x1 is not null and d.y1 is not null),
+f as (select run_id, cast(0 as bigint) as k, cast(null as int) as id, cast(null as int) as match, free from s
+ union all select g.run_id, g.k, g.id, g.free[g.n].id, list_concat(g.free[:g.n - 1], g.free[g.n + 1:]) from (
+  select f.run_id, b.k, cast(b.id as int) as id, f.free, list_position(list_transform(f.free, lambda o: (o.x - b.x) * (o.x - b.x) + (o.y - b.y) * (o.y - b.y)), list_min(list_transform(f.free, lambda o: (o.x - b.x) * (o.x - b.x) + (o.y - b.y) * (o.y - b.y)))) as n
+  from f join b on b.run_id = f.run_id and b.k = f.k + 1 where len(f.free) > 0) g)
+select run_id, id, cast(match as int) as match from f where k > 0""",
 }
