@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliomill.plans import drifts, hierarchies, records, regions, reviews, workspace, rasters, geometry, provenance, streams, tables
+from foliomill.plans import drifts, hierarchies, records, regions, reviews, workspace, rasters, geometry, provenance, streams, tables, decisions
 
-MODULES = [hierarchies, drifts, records, regions, reviews, workspace, rasters, geometry, provenance, streams, tables]
+MODULES = [hierarchies, drifts, records, regions, reviews, workspace, rasters, geometry, provenance, streams, tables, decisions]
 
 
 def queries() -> dict:
