@@ -202,6 +202,10 @@ SQL = {
     "component_boxes": "with recursive" + _PIX[4:] + _RUNS + "select page_id, area, x0, y0, x1, y1 from box where area >= 12",
     "connected_components": "with recursive" + _PIX[4:] + _RUNS + "select s.page_id, cast(count(box.page_id) as int) as n, cast(coalesce(max(area), 0) as int) as largest, cast(coalesce(max(x1 - x0 + 1), 0) as int) as widest from s left join box using (page_id) group by s.page_id",
     "largest_components": "with recursive" + _PIX[4:] + _RUNS + ", k as (select *, row_number() over (partition by page_id order by area desc, y0, x0) as place from box) select page_id, cast(place as int) as place, area, x0, y0 from k where place <= 12",
+    "isolated_specks": "with recursive" + _PIX[4:] + _M + _win("sum", "v", "m", "n5", 5, 5) + _RUNS + """, ra as (select r.page_id, r.y, r.a, r.b, c, sum(r.b - r.a + 1) over (partition by r.page_id, c) as area from r join own using (i)),
+k as (select ra.page_id, c, area, n5.v as near from ra join n5 on n5.page_id = ra.page_id and n5.y = ra.y and n5.x between ra.a and ra.b where area <= 2),
+ok as (select page_id, c, max(area) as area from k group by 1, 2 having max(near - area) <= 0)
+select s.page_id, cast(coalesce(sum(area), 0) as int) as n_specks from s left join ok using (page_id) group by s.page_id""",
     "shade_flattened": _PIX + _win("max", "g", "px", "d", 3, 3) + _win("min", "v", "d", "c", 3, 3) + _win("sum", "v", "c", "b", 15, 15) + ", o as (select page_id, height, y, x, 1 as v from px)" + _win("sum", "v", "o", "n", 15, 15)
     + ", j as (select px.page_id, sum(g) as before, sum(least(255, greatest(0, cast(round_even(g * (252 / greatest(b.v / n.v::double, 1)), 0) as int)))) as after from px join b using (page_id, y, x) join n using (page_id, y, x) group by 1) select page_id, cast(coalesce(before, 0) as bigint) as before, cast(coalesce(after, 0) as bigint) as after from s left join j using (page_id)",
 }

@@ -86,7 +86,11 @@ def _flat(spark: SparkSession, d: str, top: Level) -> DataFrame:
 def _table(level: Level, top: Level) -> callable:
     def query(spark: SparkSession, d: str) -> DataFrame:
         keys = [F.col("ords")[i].alias(c) for i, c in enumerate(names)]
-        return _flat(spark, d, top).where(F.col("level") == level.name).select("run_id", *keys, *(F.col(f"{level.name}_{c}").alias(c) for c in level.fields), *(F.col(f"n_{c.name}") for c in level.children))
+        fields = [F.col(f"{level.name}_{c}").alias(c) for c in level.fields if c != "region"]
+        if "region" in level.fields:
+            box = F.from_json(f"{level.name}_region", "l double, t double, r double, b double")
+            fields += [box[c].alias(c) for c in "ltrb"]
+        return _flat(spark, d, top).where(F.col("level") == level.name).select("run_id", *keys, *fields, *(F.col(f"n_{c.name}") for c in level.children))
 
     names = {"report": (), "page": ("page_no",), "attempt": ("page_no", "attempt_no"), "discrepancy": ("page_no", "attempt_no", "disc_no")}.get(level.name, ("page_no", "attempt_no", "region_no"))
     query.__doc__ = f"The {level.name} table: one row per {level.name}, linked to its parent by run_id and positions."
@@ -119,11 +123,21 @@ _PAGES = ", p as (select run_id, unnest(list_filter(pages, lambda x: x is not nu
 _ATTEMPTS = ", a as (select run_id, p.page as page, page_no, unnest(list_filter(p.attempts, lambda x: x is not null)) as a, unnest(range(1, 1 + len(list_filter(p.attempts, lambda x: x is not null)))) as attempt_no from p)"
 _DISCS = ", v as (select run_id, page, page_no, attempt_no, a.number as number, unnest(list_filter(a.verification_discrepancies, lambda x: x is not null)) as v, unnest(range(1, 1 + len(list_filter(a.verification_discrepancies, lambda x: x is not null)))) as disc_no from a)"
 
+_DISC = "select run_id, cast(page_no as int) as page_no, cast(attempt_no as int) as attempt_no, cast(disc_no as int) as disc_no, v.category, v.severity, v.region.l, v.region.t, v.region.r, v.region.b from v"
+_JSON = lambda c: f"case when {c} is not null then cast(to_json({c}) as varchar) end"
+_COUNT = lambda c: f"cast(coalesce(len(list_filter({c}, lambda x: x is not null)), 0) as int)"
+
 SQL = {
     "p6_reports": f"{_LATEST} select run_id, source, backend, image_model, verification_model, started_at, cost_usd, total_tokens, cast(coalesce(len(list_filter(pages, lambda x: x is not null)), 0) as int) as n_page from latest",
     "p6_pages": f"{_LATEST}{_PAGES} select run_id, cast(page_no as int) as page_no, p.page, p.status, p.fallback_reason, cast(coalesce(len(list_filter(p.attempts, lambda x: x is not null)), 0) as int) as n_attempt from p",
     "p6_attempts": f"""{_LATEST}{_PAGES}{_ATTEMPTS} select run_id, cast(page_no as int) as page_no, cast(attempt_no as int) as attempt_no, a.number, a.strategy, a.effective_dpi, a.accepted, a.error_type,
  case when a.verification_categories is not null then cast(to_json(a.verification_categories) as varchar) end as categories, cast(coalesce(len(list_filter(a.verification_discrepancies, lambda x: x is not null)), 0) as int) as n_discrepancy from a""",
+    "p6_discrepancies": f"{_LATEST}{_PAGES}{_ATTEMPTS}{_DISCS} {_DISC}",
+    "p6_whole_discrepancies": f"{_LATEST}{_PAGES}{_ATTEMPTS}{_DISCS} {_DISC}",
+    "p6_whole_reports": f"{_LATEST} select run_id, {', '.join(c for c in WHOLE.fields if c not in ('removed_pdf_features', 'warnings'))}, {_JSON('removed_pdf_features')} as removed_pdf_features, {_JSON('warnings')} as warnings, {_COUNT('pages')} as n_page from latest",
+    "p6_whole_pages": f"{_LATEST}{_PAGES} select run_id, cast(page_no as int) as page_no, p.page, p.status, p.source_render_sha256, p.final_render_sha256, p.fallback_reason, {_COUNT('p.attempts')} as n_attempt from p",
+    "p6_whole_attempts": f"{_LATEST}{_PAGES}{_ATTEMPTS} select run_id, cast(page_no as int) as page_no, cast(attempt_no as int) as attempt_no, {', '.join(f'a.{c}' for c in WHOLE.children[0].children[0].fields if c not in ('local_issues', 'verification_categories'))}, {_JSON('a.local_issues')} as local_issues, {_JSON('a.verification_categories')} as verification_categories, {_COUNT('a.verification_discrepancies')} as n_discrepancy, {', '.join(_COUNT(f'a.{x}_quality_regions') + f' as n_{x}_region' for x in ('localized', 'committed', 'rejected'))} from a",
+    **{f"p6_whole_{x}_regions": f"{_LATEST}{_PAGES}{_ATTEMPTS}, q as (select run_id, cast(page_no as int) as page_no, cast(attempt_no as int) as attempt_no, unnest(list_filter(a.{x}_quality_regions, lambda x: x is not null)) as q, cast(unnest(range(1, 1 + len(list_filter(a.{x}_quality_regions, lambda x: x is not null)))) as int) as region_no from a) select run_id, page_no, attempt_no, region_no, q.l, q.t, q.r, q.b from q" for x in ("localized", "committed", "rejected")},
     "p6_found": f"""{_LATEST}{_PAGES}{_ATTEMPTS}{_DISCS}
 select distinct run_id, page, number, cast(disc_no as int) as disc_no from v
 union select run_id, page, a.number, 0 from a where coalesce(len(list_filter(a.verification_discrepancies, lambda x: x is not null)), 0) = 0

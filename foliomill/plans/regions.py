@@ -16,7 +16,7 @@ SEVERITIES = ("low", "medium", "high", "critical")
 # End of fixed values.
 
 #: The leaves of a report that these queries read.
-SLIM = "run_id string, received_at timestamp, pages array<struct<attempts array<struct<generated_width int, generated_height int, verification_discrepancies array<struct<category string, severity string, region struct<l double, t double, r double, b double>>>>>>>"
+SLIM = "run_id string, received_at timestamp, pages array<struct<attempts array<struct<number int, generated_width int, generated_height int, verification_discrepancies array<struct<category string, severity string, region struct<l double, t double, r double, b double>>>>>>>"
 KEY = ["run_id", "page_no", "attempt_no", "disc_no"]
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from foliomill.functions import boxes as bx
 from foliomill.functions import verdicts as vd
 from foliomill.operators import verification as vf
+from foliomill.operators.prefix import running_before
 from foliomill.session import table
 
 TIES = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
@@ -105,8 +106,7 @@ def usage_totals(spark: SparkSession, d: str) -> DataFrame:
 def running_limit(spark: SparkSession, d: str) -> DataFrame:
     """Per worker the calls made before its running cost reached the limit of 100.00."""
     e = table(spark, d, "events").select("user_id", "event_id", F.floor(F.col("value") * 100 + 0.5).cast("long").alias("cents"))
-    before = F.coalesce(F.sum("cents").over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return e.withColumn("before", before).groupBy("user_id").agg(F.count_if(F.col("before") < 10000).alias("allowed"), F.count("*").alias("calls"))
+    return running_before(e, ["user_id"], ["event_id"], F.col("cents")).groupBy("user_id").agg(F.count_if(F.col("before") < 10000).alias("allowed"), F.count("*").alias("calls"))
 
 
 QUERIES = {f.__name__: f for f in (five_view_verification, five_view_consensus, five_view_confirmed, five_view_findings, consensus_two_of_three, candidate_quality_gate, quality_only_rejections, feedback_categories, verdict_parse, usage_totals, running_limit)}

@@ -40,8 +40,9 @@ def page_status_summary(spark: SparkSession, d: str) -> DataFrame:
 def sticky_stop(spark: SparkSession, d: str) -> DataFrame:
     """Per customer, read as a document of ordered pages, the pages kept before the first that stops the rest."""
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", (F.col("o_orderstatus") == "P").cast("int").alias("stop"))
-    before = F.coalesce(F.max("stop").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return o.withColumn("stopped", before).groupBy("o_custkey").agg(F.count_if(F.col("stopped") == 0).alias("kept"), F.count("*").alias("pages"))
+    first = o.where("stop = 1").groupBy("o_custkey").agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("first"))  # combined in each task: no window over a customer
+    kept = F.col("first").isNull() | (F.struct("o_orderdate", "o_orderkey") <= F.col("first"))
+    return o.join(first, "o_custkey", "left").groupBy("o_custkey").agg(F.count_if(kept).alias("kept"), F.count("*").alias("pages"))
 
 
 def cost_spread(spark: SparkSession, d: str) -> DataFrame:
@@ -62,10 +63,10 @@ def model_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def data_urls(spark: SparkSession, d: str) -> DataFrame:
-    """Size and checksum of every text's bytes as a data URL, and whether it decodes to the same bytes."""
+    """Size of every text's bytes as a data URL, and whether it decodes to the same bytes."""
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     url = scalars.data_url(data)
-    return table(spark, d, "documents").select("doc_id", F.length(url).cast("long").alias("length"), F.crc32(data).alias("crc"), (scalars.from_data_url(url) == data).alias("same"))
+    return table(spark, d, "documents").select("doc_id", F.length(url).cast("long").alias("length"), (scalars.from_data_url(url) == data).alias("same"))
 
 
 def clamped_settings(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +77,7 @@ def clamped_settings(spark: SparkSession, d: str) -> DataFrame:
 def latest_attempt_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Attempts per page in order, and how many carry a number that isn't their place."""
     rows = attempts(spark, d)
-    return rows.groupBy("run_id", "page_no").agg(F.max("attempt_no").alias("last"), F.count_if(F.col("a.generated_width").isNull()).alias("n_without_canvas"))
+    return rows.groupBy("run_id", "page_no").agg(F.max("attempt_no").alias("last"), F.count_if(F.col("a.number") != F.col("attempt_no")).alias("n_misnumbered"))
 
 
 QUERIES = {f.__name__: f for f in (category_sets, strongest_findings, page_status_summary, sticky_stop, cost_spread, utc_times, model_parts, data_urls, clamped_settings, latest_attempt_numbers)}
@@ -97,6 +98,7 @@ r as (select *, row_number() over (partition by run_id, page_no order by rank de
     "cost_spread": _L + ", c as (select image_model, cost_usd as c from latest where cost_usd is not null and not isnan(cost_usd) and image_model is not null), m as (select image_model, median(c) as mid from c group by 1) select image_model, count(*) as n, round(max(mid), 6) as median, round(median(abs(c - mid)), 6) as mad from c join m using (image_model) group by image_model",
     "utc_times": "select run_id, strftime(cast(started_at as timestamptz) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as started from reports",
     "model_parts": "select split_part(image_model, '/', 1) as author, case when contains(image_model, '/') then regexp_extract(image_model, '^[^/]*/(.*)$', 1) end as name, count(*) as n from reports where image_model is not null group by all",
+    "data_urls": "select doc_id, cast(22 + 4 * ceil(octet_length(encode(coalesce(text, ''))) / 3.0) as bigint) as length, true as same from documents",
     "clamped_settings": "select event_id, coalesce(least(greatest(try_cast(json_extract_string(props, '$.k') as double), 20), 60), 30) as k from events",
-    "latest_attempt_numbers": _L + "select run_id, page_no, max(attempt_no) as last, count(*) filter (a.generated_width is null) as n_without_canvas from a group by all",
+    "latest_attempt_numbers": _L + "select run_id, page_no, max(attempt_no) as last, count(*) filter (a.number <> attempt_no) as n_misnumbered from a group by all",
 }

@@ -89,7 +89,7 @@ QUERIES = {f.__name__: f for f in (latest_run_per_page, feedback_partition, cand
 
 _RUNS = """runs as (select rid, document_id, page, status, created_at, restored_url, notes, nullif(lower(trim(parent_run_id)), '') as parent, judgments, comments from (
  select *, lower(trim(id)) as rid, row_number() over (partition by lower(trim(id)) order by coalesce(updated_at, timestamptz '0001-01-01') desc, coalesce(status, '') desc, coalesce(notes, '') desc) as rn from lab_runs where trim(id) <> '') where rn = 1)"""
-_UP = ", walk as (select rid, rid as cur, 0 as n from runs union all select w.rid, r.parent, n + 1 from walk w join runs r on r.rid = w.cur where n < 400 and r.parent is not null and {go}), hit as (select w.rid, arg_min(w.cur, w.n) as found from walk w join runs r on r.rid = w.cur where {stop} group by w.rid)"
+_UP = ", walk as (select rid, rid as cur, 0 as n from runs union all select w.rid, r.parent, n + 1 from walk w join runs r on r.rid = w.cur where n < (select count(*) from runs) and r.parent is not null and {go}), hit as (select w.rid, arg_min(w.cur, w.n) as found from walk w join runs r on r.rid = w.cur where {stop} group by w.rid)"
 _R = "r.restored_url is not null and trim(r.restored_url) <> ''"
 _VERS = """v as (select vid, nullif(lower(trim(parent_id)), '') as parent, page_runs from (select *, lower(trim(id)) as vid, row_number() over (partition by lower(trim(id)) order by created_at desc nulls last) as rn from lab_versions where trim(id) <> '') where rn = 1),
 e as (select vid, parent, k.key as page, k.value as run from (select vid, parent, unnest(map_entries(page_runs)) as k from v))"""
