@@ -32,6 +32,12 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leak.spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without the passages found in it, and how many were cut out."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return leak.without(docs, leak.spans(docs, table(spark, d, "eval_items")))
+
+
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     """item_id, n_docs: how many documents each leaked item is found in."""
     return p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"))
@@ -58,5 +64,5 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d).groupBy("text_lang", "level").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_roundtrip, p8_found, p8_spans, p8_items, p9_found, p9_levels, p9_profile)}
+QUERIES = {f.__name__: f for f in (p7_ids, p7_roundtrip, p8_found, p8_spans, p8_cleaned, p8_items, p9_found, p9_levels, p9_profile)}
 SQL: dict[str, str] = {}

@@ -1,12 +1,13 @@
 """Held-out evaluation passages inside a corpus.
 
 Items and documents are normalised to words.  Every run of SEED words of an item
-goes into a set of hashes, which is broadcast; documents are scanned with rolling
-windows over word numbers, and each hit is verified by aligning item and
-document from there.  Of any SPAN words in a row at most one may be misspelt or
-exchanged, so a passage of LEAST words always holds SEED right words in a row.
-The item table is taken in blocks of bounded size, so the set a task holds has a
-bound whatever the number of items.
+goes into a set of hashes; documents are scanned once with rolling windows, and
+those with a window in the set are kept.  Of any SPAN words in a row at most one
+may be misspelt or exchanged, so a passage of LEAST words always holds SEED right
+words in a row.  The set is broadcast as a bitmap whose size is bounded whatever
+the number of items; a join of the hits with the items' own runs removes what
+only shares a bit, and every pair that is left is verified by aligning item and
+document.
 """
 
 from __future__ import annotations
@@ -14,18 +15,21 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm.tape import Tape
+from foliomill.session import Shelf
 
 LEAST, SPAN, SEED = 14, 6, 5
-#: Characters of item text in one broadcast block.
-BLOCK_CHARS = 16 << 20
+#: Bits of the bitmap: so many per run of item words, and at most so many (128 MB); a piece of it is built in one task.
+BITS_PER_RUN, MOST_BITS, PIECE = 64, 1 << 30, 1 << 20
 
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\[nrtbf\"'\\/]|&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[A-Za-z]{2,8});")
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿️]+")
@@ -134,55 +138,31 @@ def _extend(item: list[str], doc: list[str], i: int, j: int, step: int) -> tuple
             end = (i, j)
 
 
-class Items:
-    """A block of items, indexed by the hashes of their runs of SEED words."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.words = {i: tokens(t) for i, t in rows}
-        self.number: dict[str, int] = {}
-        for ws in self.words.values():
-            for w in ws:
-                self.number.setdefault(w, len(self.number) + 1)
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, ws in self.words.items():
-            ids = np.array([self.number[w] for w in ws], np.uint64)
-            for k, h in enumerate(_runs(ids).tolist()):
-                places[h].append((i, k))
-        self.places = dict(places)
-        self.hashes = np.sort(np.fromiter(self.places, np.uint64, len(self.places)))
-
-    def find(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
-        """Per text: (item, first word, last word) of every passage of at least LEAST item words."""
-        docs = [tokens(t) for t in texts]
-        flat = np.fromiter((self.number.get(w, 0) for ws in docs for w in ws), np.uint64)
-        found: list[list[tuple[int, int, int]]] = [[] for _ in docs]
-        if flat.size < SEED or not self.hashes.size:
-            return found
-        bounds = np.r_[0, np.cumsum([len(ws) for ws in docs])]
-        known = flat > 0
-        whole = np.convolve(known, np.ones(SEED, int), "valid") == SEED
-        at = np.flatnonzero(whole)
-        h = _runs(flat)[at]
-        near = np.minimum(np.searchsorted(self.hashes, h), self.hashes.size - 1)
-        hit = self.hashes[near] == h
-        at, h = at[hit], h[hit]
-        row = np.searchsorted(bounds, at, "right") - 1
-        inside = at + SEED <= bounds[row + 1]
-        covered: dict[tuple[int, int, int], int] = {}
-        for j, r, k in zip((at - bounds[row])[inside].tolist(), row[inside].tolist(), h[inside].tolist()):
-            doc = docs[r]
-            for item, i in self.places[k]:
-                if covered.get((r, item, j - i), -1) >= j:
-                    continue  # this run lies in a passage already aligned
-                ws = self.words[item]
-                if ws[i : i + SEED] != doc[j : j + SEED]:
-                    continue
-                hi, hj = _extend(ws, doc, i + SEED - 1, j + SEED - 1, 1)
-                li, lj = _extend(ws, doc, i, j, -1)
-                covered[(r, item, j - i)] = hj
-                if hi - li + 1 >= LEAST:
-                    found[r].append((item, lj, hj))
-        return found
+def _numbers(words: list[str]) -> np.ndarray:
+    """A hash per word, the same everywhere."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+
+def aligned(item: list[str], doc: list[str]) -> list[tuple[int, int]]:
+    """(first word, last word) of every passage of at least LEAST item words in the document's words."""
+    places: dict[tuple[str, ...], list[int]] = defaultdict(list)
+    for i in range(len(item) - SEED + 1):
+        places[tuple(item[i : i + SEED])].append(i)
+    found: list[tuple[int, int]] = []
+    covered: dict[int, int] = {}
+    heads = {k[0] for k in places}
+    for j in range(len(doc) - SEED + 1):
+        if doc[j] not in heads:
+            continue
+        for i in places.get(tuple(doc[j : j + SEED]), ()):
+            if covered.get(j - i, -1) >= j:
+                continue  # this run lies in a passage already aligned
+            hi, hj = _extend(item, doc, i + SEED - 1, j + SEED - 1, 1)
+            li, lj = _extend(item, doc, i, j, -1)
+            covered[j - i] = hj
+            if hi - li + 1 >= LEAST:
+                found.append((lj, hj))
+    return found
 
 
 def _runs(ids: np.ndarray) -> np.ndarray:
@@ -198,53 +178,122 @@ def _runs(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str):
-    """The items in blocks of at most about BLOCK_CHARS characters each."""
-    rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = 1 + 2 * chars // BLOCK_CHARS
-    for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b)
-        yield [(r.i, r.t) for r in part.collect()]
+def _seeds(items: DataFrame) -> DataFrame:
+    """h, item: the hashes of every item's runs of words, each once; items: item (row number), text."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(h, i) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for h in np.unique(_runs(_numbers(tokens(t))).view(np.int64)).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["h", "item"])
+
+    return items.select("item", "text").mapInArrow(run, "h long, item long")
+
+
+def _bitmap(seeds: DataFrame, n: int) -> np.ndarray:
+    """The bitmap of all seeds, built piece by piece in tasks; of at most MOST_BITS bits."""
+    bits = PIECE
+    while bits < min(MOST_BITS, n * BITS_PER_RUN):
+        bits *= 2
+    at = F.col("h").bitwiseAND(F.lit(bits - 1))
+
+    def run(batches):
+        pieces: dict[int, np.ndarray] = {}
+        for batch in batches:
+            where = batch.column(0).to_numpy()
+            for p in np.unique(where // PIECE).tolist():
+                own = pieces.setdefault(p, np.zeros(PIECE // 8, np.uint8))
+                inside = where[where // PIECE == p] % PIECE
+                np.bitwise_or.at(own, inside >> 3, (1 << (inside & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in pieces.values()], pa.binary())], names=["piece", "bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in seeds.select(at.alias("at")).distinct().repartition(F.floor(F.col("at") / PIECE)).mapInArrow(run, "piece int, bits binary").collect():  # at most MOST_BITS bits
+        out[r.piece * PIECE // 8 : (r.piece + 1) * PIECE // 8] |= np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    return out
+
+
+def _hits(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """doc, text, seeds: every document that has runs in the bitmap, with their hashes, each once."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        bits = shared.value
+        mask = np.uint64(bits.size * 8 - 1)
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            words = [tokens(t) for t in texts]
+            h = _runs(_numbers([w for ws in words for w in ws]))
+            rows = []
+            if h.size:
+                place = h & mask
+                hit = np.flatnonzero(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                bounds = np.r_[0, np.cumsum([len(ws) for ws in words])]
+                row = np.searchsorted(bounds, hit, "right") - 1
+                inside = hit + SEED <= bounds[row + 1]
+                row, hit = row[inside], hit[inside]
+                cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if row.size else []
+                for k, part in zip(row[cut].tolist() if row.size else [], np.split(h[hit].view(np.int64), cut[1:]) if row.size else []):
+                    rows.append((ids[k], texts[k], np.unique(part).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.list_(pa.int64())))], names=["doc", "text", "seeds"])
+
+    return docs.select("doc", "text").mapInArrow(run, "doc long, text string, seeds array<long>")
 
 
 def _scan(docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str, emit, schema: str) -> DataFrame:
+    """emit(document, item id, text, passages) over all pairs that share a run of words; passages are spans of words."""
     spark = docs.sparkSession
-    result = None
-    for rows in _blocks(items, item_col, item_text):
-        shared = spark.sparkContext.broadcast(Items(rows))
-
-        def run(batches, shared=shared):
-            index = shared.value
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                yield from emit(ids, texts, index.find(texts))
-
-        part = docs.select(F.col(doc_col).cast("long"), text_col).mapInArrow(run, schema)
-        result = part if result is None else result.unionByName(part)
-    return result
+    shelf = Shelf(spark, "leak")
+    # rows are numbered, so that repeated and null ids are told apart
+    rows = shelf.put(items.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.monotonically_increasing_id().alias("item"), F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")), "items")
+    seeds = shelf.put(_seeds(rows), "seeds")
+    hits = shelf.put(_hits(docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text")), _bitmap(seeds, seeds.count())).withColumn("row", F.monotonically_increasing_id()), "hits")
+    pairs = hits.select("row", F.explode("seeds").alias("h")).join(seeds, "h").select("row", "item").distinct()
+    whole = pairs.join(hits.select("row", "doc", "text"), "row").join(rows.select("item", "item_id", F.col("text").alias("item_text")), "item")
+
+    def run(batches):
+        for batch in batches:
+            known: dict[str, list[str]] = {}
+            out: list[tuple] = []
+            for doc, text, item, passage in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                for t in (text, passage):
+                    if t not in known:
+                        known[t] = tokens(t)
+                found = aligned(known[passage], known[text])
+                if found:
+                    out += emit(doc, item, text, found)
+            cols = list(zip(*out)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [{"long": pa.int64(), "int": pa.int32()}[c.split()[1]] for c in schema.split(", ")]
+    return whole.select("doc", "text", "item_id", "item_text").mapInArrow(run, schema)
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id: every document with a passage of the item; null and empty texts have none."""
-
-    def emit(ids, texts, found):
-        pairs = sorted({(d, i) for d, hits in zip(ids, found) for i, _, _ in hits}, key=str)
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in pairs], pa.int64()), pa.array([i for _, i in pairs], pa.int64())], names=["doc_id", "item_id"])
-
-    return _scan(docs, doc_col, text_col, items, item_col, item_text, emit, "doc_id long, item_id long").distinct()
+    return _scan(docs, doc_col, text_col, items, item_col, item_text, lambda doc, item, text, found: [(doc, item)], "doc_id long, item_id long").distinct()
 
 
 def spans(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, start, stop: the characters of each passage in the source text, from 0, stop exclusive."""
 
-    def emit(ids, texts, found):
-        rows = []
-        for d, t, hits in zip(ids, texts, found):
-            if hits:
-                words = located(t)
-                rows += [(d, i, words[a][1], words[b][2]) for i, a, b in sorted(set(hits))]
-        cols = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "start", "stop"])
+    def emit(doc, item, text, found):
+        words = located(text)
+        return [(doc, item, words[a][1], words[b][2]) for a, b in sorted(set(found))]
 
     return _scan(docs, doc_col, text_col, items, item_col, item_text, emit, "doc_id long, item_id long, start int, stop int")
+
+
+def without(docs: DataFrame, found: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the found spans cut out of their texts, and ``n_cut``, the number of spans.
+
+    found: ``spans`` of docs.  Spans may overlap; texts without one stay as they
+    are, null ids have none, and where an id has several rows the spans count for each.
+    """
+    lists = found.where("doc_id is not null").select("doc_id", "start", "stop").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__cuts"))
+    both = docs.drop("n_cut").join(lists.withColumnRenamed("doc_id", "__doc"), F.col(doc_col) == F.col("__doc"), "left")
+    text = F.col(text_col)
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    step = lambda s, x: F.struct(F.concat(s["out"], F.substr(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))).alias("out"), F.greatest(s["at"], x["stop"]).alias("at"))
+    cut = F.aggregate("__cuts", start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
+    return both.withColumn(text_col, F.coalesce(cut, text)).withColumn("n_cut", F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(F.size("__cuts"))).drop("__doc", "__cuts")
