@@ -30,6 +30,8 @@ from foliomill.session import Shelf
 LEAST, SPAN, SEED = 14, 6, 5
 #: Bits of the bitmap: so many per run of item words, and at most so many (128 MB); a piece of it is built in one task.
 BITS_PER_RUN, MOST_BITS, PIECE = 64, 1 << 30, 1 << 20
+#: Odd factors; each leads a hash to one of its bits.  Other windows have all of them set in a share of (4 / 64) ** 4.
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\[nrtbf\"'\\/]|&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[A-Za-z]{2,8});")
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿️]+")
@@ -139,8 +141,9 @@ def _extend(item: list[str], doc: list[str], i: int, j: int, step: int) -> tuple
 
 
 def _numbers(words: list[str]) -> np.ndarray:
-    """A hash per word, the same everywhere."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    """A hash per word, the same everywhere; each distinct word is hashed once."""
+    known = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in set(words)}
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def aligned(item: list[str], doc: list[str]) -> list[tuple[int, int]]:
@@ -194,7 +197,11 @@ def _bitmap(seeds: DataFrame, n: int) -> np.ndarray:
     bits = PIECE
     while bits < min(MOST_BITS, n * BITS_PER_RUN):
         bits *= 2
-    at = F.col("h").bitwiseAND(F.lit(bits - 1))
+
+    def places(batches):
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([_place(h, f, bits) for f in _FACTORS])))], names=["at"])
 
     def run(batches):
         pieces: dict[int, np.ndarray] = {}
@@ -207,26 +214,33 @@ def _bitmap(seeds: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in pieces.values()], pa.binary())], names=["piece", "bits"])
 
     out = np.zeros(bits // 8, np.uint8)
-    for r in seeds.select(at.alias("at")).distinct().repartition(F.floor(F.col("at") / PIECE)).mapInArrow(run, "piece int, bits binary").collect():  # at most MOST_BITS bits
+    for r in seeds.select("h").mapInArrow(places, "at long").distinct().repartition(F.floor(F.col("at") / PIECE)).mapInArrow(run, "piece int, bits binary").collect():  # at most MOST_BITS bits
         out[r.piece * PIECE // 8 : (r.piece + 1) * PIECE // 8] |= np.frombuffer(zlib.decompress(r.bits), np.uint8)
     return out
 
 
+def _place(h: np.ndarray, factor: int, bits: int) -> np.ndarray:
+    """The bit of each hash under a factor: the topmost digits of the product."""
+    with np.errstate(over="ignore"):
+        return ((h * np.uint64(factor)) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+
+
 def _hits(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """doc, text, seeds: every document that has runs in the bitmap, with their hashes, each once."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         bits = shared.value
-        mask = np.uint64(bits.size * 8 - 1)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             words = [tokens(t) for t in texts]
             h = _runs(_numbers([w for ws in words for w in ws]))
             rows = []
             if h.size:
-                place = h & mask
-                hit = np.flatnonzero(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                hit = np.arange(h.size)
+                for f in _FACTORS:
+                    place = _place(h[hit], f, bits.size * 8)
+                    hit = hit[(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
                 bounds = np.r_[0, np.cumsum([len(ws) for ws in words])]
                 row = np.searchsorted(bounds, hit, "right") - 1
                 inside = hit + SEED <= bounds[row + 1]
