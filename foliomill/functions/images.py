@@ -116,3 +116,32 @@ def extract(data: bytes) -> bytes | None:
     """The first manifest in a stream, null where it holds none."""
     f, parts = _parsed(data) or (None, [])
     return next((body[len(KEYWORD + f.gap) :] for tag, _, body in parts if tag == f.holder and body.startswith(KEYWORD + f.gap)), None)
+
+
+#: How a page of each EXIF orientation is turned upright (quarter turns, then mirrored).
+_UPRIGHT = {1: (0, False), 2: (0, True), 3: (2, False), 4: (2, True), 5: (3, True), 6: (3, False), 7: (1, True), 8: (1, False)}
+
+
+def orientation(data: bytes | None) -> int:
+    """The EXIF orientation of a JPEG, 1 (upright) where it names none."""
+    for tag, _, body in _jpeg_segments(data or b"") or []:
+        if tag != b"\xe1" or not body.startswith(b"Exif\0\0"):
+            continue
+        tiff = body[6:]
+        end = {b"II": "<", b"MM": ">"}.get(tiff[:2])
+        if end is None or len(tiff) < 8:
+            return 1
+        start = struct.unpack_from(end + "I", tiff, 4)[0]
+        count = struct.unpack_from(end + "H", tiff, start)[0] if start + 2 <= len(tiff) else 0
+        for k in range(min(count, (len(tiff) - start - 2) // 12)):
+            name, kind, n, value = struct.unpack_from(end + "HHIH", tiff, start + 2 + 12 * k)
+            if (name, kind, n) == (0x112, 3, 1) and value in _UPRIGHT:
+                return value
+    return 1
+
+
+def upright(pixels: np.ndarray, value: int) -> np.ndarray:
+    """Pixels (height, width, ...) turned as an EXIF orientation asks for."""
+    turns, mirrored = _UPRIGHT.get(value, (0, False))
+    turned = np.rot90(pixels, turns)
+    return turned[:, ::-1] if mirrored else turned

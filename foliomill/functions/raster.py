@@ -149,29 +149,33 @@ def bilinear(a: np.ndarray, matrix: np.ndarray, shape: tuple[int, int]) -> np.nd
     return np.rint(v).astype(np.uint8)
 
 
+def _equations(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The linear equations (..., 2 n, 9) that a mapping of n points fulfils."""
+    x, y, u, v = src[..., 0], src[..., 1], dst[..., 0], dst[..., 1]
+    one, nil = np.ones_like(x), np.zeros_like(x)
+    first = np.stack([x, y, one, nil, nil, nil, -u * x, -u * y, -u], axis=-1)
+    second = np.stack([nil, nil, nil, x, y, one, -v * x, -v * y, -v], axis=-1)
+    return np.concatenate([first, second], axis=-2)
+
+
 def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
     """The 3 x 3 matrix that brings points src to dst by least squares; null for fewer than four points."""
     if len(src) < 4:
         return None
-    rows = []
-    for (x, y), (u, v) in zip(src, dst):
-        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y, -u], [0, 0, 0, x, y, 1, -v * x, -v * y, -v]]
-    m = np.linalg.svd(np.array(rows))[2][-1].reshape(3, 3)
+    m = np.linalg.svd(_equations(np.asarray(src, float), np.asarray(dst, float)))[2][-1].reshape(3, 3)
     return m / m[2, 2] if abs(m[2, 2]) > 1e-12 else None
 
 
 def ransac(src: np.ndarray, dst: np.ndarray, tolerance: float = 4.0, rounds: int = 200, seed: int = 7) -> tuple[np.ndarray | None, np.ndarray]:
-    """A homography and its inliers from matches with outliers."""
-    best = np.zeros(len(src), bool)
-    rng = np.random.default_rng(seed)
-    for _ in range(rounds if len(src) >= 4 else 0):
-        pick = rng.choice(len(src), 4, replace=False)
-        m = homography(src[pick], dst[pick])
-        if m is None or not np.isfinite(m).all():
-            continue
-        p = np.c_[src, np.ones(len(src))] @ m.T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ok = np.hypot(*(p[:, :2] / p[:, 2:] - dst).T) <= tolerance
-        if ok.sum() > best.sum():
-            best = ok
-    return (homography(src[best], dst[best]) if best.sum() >= 4 else None), best
+    """A homography and its inliers from matches with outliers; all rounds are solved at once."""
+    n = len(src)
+    if n < 4:
+        return None, np.zeros(n, bool)
+    src, dst = np.asarray(src, float), np.asarray(dst, float)
+    pick = np.argsort(np.random.default_rng(seed).random((rounds, n)), axis=1)[:, :4]
+    maps = np.linalg.svd(_equations(src[pick], dst[pick]))[2][:, -1].reshape(-1, 3, 3)
+    seen = np.c_[src, np.ones(n)] @ maps.transpose(0, 2, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        fits = np.linalg.norm(seen[..., :2] / seen[..., 2:] - dst, axis=-1) <= tolerance
+    best = fits[fits.sum(axis=1).argmax()]
+    return homography(src[best], dst[best]), best

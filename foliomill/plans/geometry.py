@@ -129,7 +129,45 @@ def edge_curves(spark: SparkSession, d: str) -> DataFrame:
     return over_pages(table(spark, d, "documents"), kernel, "page_id long, n_rows int, middle double", 0)
 
 
-QUERIES = {f.__name__: f for f in (contained_canvas, ordered_corners, page_skew, aligned_rings, merged_holes, boundary_rails, pale_strips_topk, region_restore, edge_curves)}
+def page_registration(spark: SparkSession, d: str) -> DataFrame:
+    """Points of every vector against their image under a known plane mapping with a quarter of them displaced: how many fit the mapping found, and whether it is the known one."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, n, same = batch.column(0).to_pylist(), [], []
+            for i, v in zip(ids, batch.column(1).to_pylist()):
+                src = np.array(v, float).reshape(-1, 2) * 100
+                known = np.array([[1.02, 0.01 * (i % 5), 3], [-0.02, 0.98, i % 7], [1e-5, 0, 1]])
+                dst = np.c_[src, np.ones(len(src))] @ known.T
+                dst = dst[:, :2] / dst[:, 2:]
+                dst[: len(src) // 4] += 40
+                found, fits = raster.ransac(src, dst, 1.0)
+                n.append(int(fits.sum()))
+                same.append(found is not None and bool(np.allclose(found, known, atol=1e-5)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(same, pa.bool_())], names=["vec_id", "n_fit", "recovered"])
+
+    e = table(spark, d, "embeddings").where("embedding is not null and size(embedding) = 64")
+    return e.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, n_fit int, recovered boolean")
+
+
+def rectified_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Brightness of every page, and of the page brought back by bilinear interpolation from its copy shifted by (3, 2) pixels, without what the shift lost."""
+
+    def kernel(s):
+        rows = []
+        shift = np.array([[1.0, 0, 3], [0, 1, 2], [0, 0, 1]])
+        for k, a in s.pages():
+            if a.size:
+                back = raster.bilinear(raster.bilinear(a, shift, a.shape), np.linalg.inv(shift), a.shape)
+                rows.append((k, int(a[:-2, :-3].sum(dtype=np.int64)), int(back[:-2, :-3].sum(dtype=np.int64))))
+        return tuple(zip(*rows)) or ([], [], [])
+
+    return over_pages(table(spark, d, "documents"), kernel, "page_id long, before long, after long", 0)
+
+
+QUERIES = {f.__name__: f for f in (contained_canvas, ordered_corners, page_skew, aligned_rings, merged_holes, boundary_rails, pale_strips_topk, region_restore, edge_curves, page_registration, rectified_pages)}
 
 _A = """with latest as (select * from (select *, row_number() over (partition by run_id order by received_at desc nulls last) as rn from reports) where rn = 1),
 p as (select run_id, unnest(list_filter(pages, lambda x: x is not null)) as p, cast(unnest(range(1, 1 + len(list_filter(pages, lambda x: x is not null)))) as int) as page_no from latest),
@@ -167,4 +205,6 @@ c as (select page_id, y, x, g, min(m) over (partition by page_id, y order by x r
 j as (select c.*, x >= 13 and x < 51 and y >= round_even((0.25 - 0.03) * height, 0) and y < round_even((0.5 + 0.03) * height, 0) as w, x >= 15 and x < 49 and y >= round_even((0.25 - 0.02) * height, 0) and y < round_even((0.5 + 0.02) * height, 0) as e from c join s using (page_id)),
 t as (select page_id, sum(v) as clean, sum(case when w then g else v end) as restored, sum(case when e then least(g, v) else v end) as evidence from j group by 1)
 select page_id, cast(coalesce(clean, 0) as bigint) as clean, cast(coalesce(restored, 0) as bigint) as restored, cast(coalesce(evidence, 0) as bigint) as evidence from s left join t using (page_id)""",
+    "page_registration": "select vec_id, cast(24 as int) as n_fit, true as recovered from embeddings where embedding is not null and len(embedding) = 64",
+    "rectified_pages": _PIX + "select s.page_id, cast(coalesce(sum(g) filter (x < 61 and y < height - 2), 0) as bigint) as before, cast(coalesce(sum(g) filter (x < 61 and y < height - 2), 0) as bigint) as after from s join px using (page_id) group by s.page_id",
 }

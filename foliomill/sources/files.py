@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,16 +58,40 @@ def _links(root: str) -> list[str]:
 
 
 def images(spark: SparkSession, root: str) -> DataFrame:
-    """path, width, height, channels and the pixels, in RGB order, of the PNG and JPEG files under a folder."""
+    """path, width, height, channels and the pixels, in RGB order and upright, of the PNG and JPEG files under a folder.
+
+    The decoder of Spark knows no EXIF, so the orientation is read from the first
+    part of the files and joined by path.
+    """
     found = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root).select("image.*")
-    return found.select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), _rgb(F.col("data"), F.col("nChannels")).alias("data"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    turns = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][pP]*[gG]").load(root).select(plain("path").alias("at"), _orientation("content").alias("turn"))
+    rows = found.withColumn("at", plain("origin")).join(turns, "at", "left").withColumn("turn", F.coalesce("turn", F.lit(1)))
+    turned = F.col("turn") >= 5  # height and width change places
+    return rows.select(
+        F.col("origin").alias("path"),
+        F.when(turned, F.col("height")).otherwise(F.col("width")).alias("width"),
+        F.when(turned, F.col("width")).otherwise(F.col("height")).alias("height"),
+        F.col("nChannels").alias("channels"),
+        _rgb("data", "nChannels", "height", "width", "turn").alias("data"),
+    )
+
+
+@F.pandas_udf(T.IntegerType())
+def _orientation(content: pd.Series) -> pd.Series:
+    from foliomill.functions.images import orientation
+
+    return content.map(orientation)
 
 
 @F.pandas_udf(T.BinaryType())
-def _rgb(data, channels):
+def _rgb(data: pd.Series, channels: pd.Series, height: pd.Series, width: pd.Series, turn: pd.Series) -> pd.Series:
     import numpy as np
 
-    return data.combine(channels, lambda d, c: np.frombuffer(d, np.uint8).reshape(-1, 3)[:, ::-1].tobytes() if c == 3 else bytes(d))
+    from foliomill.functions.images import upright
+
+    pages = (np.frombuffer(d, np.uint8).reshape(h, w, c) for d, c, h, w in zip(data, channels, height, width))
+    return pd.Series([upright(np.concatenate([p[..., 2::-1], p[..., 3:]], axis=2) if p.shape[2] >= 3 else p, t).tobytes() for p, t in zip(pages, turn)])
 
 
 def report_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -1,10 +1,12 @@
 import json
 import os
+import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliomill.functions import rules
+from foliomill.functions import images, rules
 from foliomill.operators import folds
 from foliomill.operators.pairing import strict_zip
 from foliomill.sources import files, pdf
@@ -112,3 +114,24 @@ def test_gate_and_errors(spark):
     ).first()
     assert list(one.all) == ["generated_resolution_below_minimum", "page_registration_failed", "large_foreground_loss", "large_candidate_only_foreground", "residual_punch_hole"]
     assert one.none == [] and one.wait == 10 and one.least == 0 and one.large == "too_large" and one.null_is_no == "b"
+
+
+@pytest.mark.parametrize("end", ["<", ">"])
+def test_exif_orientation(end):
+    tiff = (b"II" if end == "<" else b"MM") + struct.pack(end + "HIH", 42, 8, 2) + struct.pack(end + "HHII", 0x10F, 2, 1, 0) + struct.pack(end + "HHIHH", 0x112, 3, 1, 6, 0)
+    exif = b"Exif\0\0" + tiff
+    data = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + b"\xff\xda\x00\x02\xff\xd9"
+    assert images.orientation(data) == 6
+    assert [images.orientation(x) for x in (None, b"", data[:30], b"\xff\xd8\xff\xda\x00\x02")] == [1, 1, 1, 1]
+    a = np.arange(6).reshape(2, 3)
+    assert images.upright(a, 6).tolist() == [[3, 0], [4, 1], [5, 2]] and images.upright(a, 8).tolist() == [[2, 5], [1, 4], [0, 3]]
+    assert images.upright(a, 2).tolist() == [[2, 1, 0], [5, 4, 3]] and images.upright(a, 5).tolist() == a.T.tolist() and images.upright(a, 7).tolist() == a[::-1, ::-1].T.tolist()
+    assert images.upright(a, 4).tolist() == a[::-1].tolist() and images.upright(a, 1).tolist() == a.tolist()
+
+
+def test_image_files(spark, tmp_path):
+    a = np.arange(20, dtype=np.uint8).reshape(4, 5)
+    (tmp_path / "a.png").write_bytes(images.png(a))
+    (tmp_path / "bad.jpg").write_bytes(b"no image")
+    r = files.images(spark, str(tmp_path)).collect()
+    assert [(x.width, x.height) for x in r] == [(5, 4)] and np.frombuffer(r[0].data, np.uint8).reshape(4, 5, -1)[..., 0].tolist() == a.tolist()
