@@ -50,8 +50,8 @@ _verbose = lambda x: x.replace("\n", "")
 _LEADS = re.compile(rf"(?<![^\W_])(?:{_verbose(BEFORE)})(?:[ ]?:)?[ \n]$", re.I)
 _FOLLOWS = re.compile(rf"(?:'s)?[ ,;\n][ ]?(?:{_verbose(AFTER)})(?![\w])", re.I)
 _AND = re.compile(r"(?:,| and| und| et| y| e| &|/)[ \n]")
-#: Two words that begin like a name; cheap, as it begins with a set of characters.
-_CAPITALS = re.compile(rf"{CAP}[^\W\d_][\w'’-]*,?[ \n](?={CAP}|d'|(?:von|van|de|di|del|della|der|la|le|el|bin|al)[ ])")
+#: Two words that begin like a name; cheap, as it begins with a set of characters, and linear, as it starts only where a word does.
+_CAPITALS = re.compile(rf"{CAP}(?<![\w@.+-].)[^\W\d_][\w'’-]{{0,60}},?[ \n](?={CAP}|d'|(?:von|van|de|di|del|della|der|la|le|el|bin|al)[ ])")
 _HERE = re.compile(rf"(?:{_NAME})(?![\w@]|-\w)")
 _BESIDE = re.compile(r"[\s,;:/()<–-]*(?:(?:[^\W\d_]+\.?:?|n°|[^\W\d_]+-[^\W\d_]+)[\s:,(]+){0,3}")
 _END = re.compile(r"[.!?]\s+[A-ZÀ-Þ]")
@@ -187,7 +187,7 @@ def learn(texts: DataFrame, text_col: str, common: frozenset[str]) -> Learnt:
             flat = sorted({b for role, word in zip(*(c.to_pylist() for c in batch.columns)) for b in marks(role, word)})
             yield pa.RecordBatch.from_arrays([pa.array([b >> 5 for b in flat], pa.int32()), pa.array([1 << (b & 31) for b in flat], pa.int64())], names=["at", "bits"])
 
-    pairs = texts.where(F.col(text_col).rlike(rf"{CAP}[^\s]+[ \n,]+{CAP}")).select(text_col).mapInArrow(run, "given string, family string").distinct()
+    pairs = texts.where(F.col(text_col).rlike(rf"(?<![\p{{L}}\p{{N}}]){CAP}[^\s]{{1,62}}[ \n]+(?:{CAP}|[a-z'’]{{1,5}}[ A-Z])")).select(text_col).mapInArrow(run, "given string, family string").distinct()
     both = pairs.select(F.explode(F.array(F.struct(F.lit("given").alias("role"), F.col("given").alias("word"), F.col("family").alias("other")), F.struct(F.lit("family").alias("role"), F.col("family").alias("word"), F.col("given").alias("other")))).alias("x")).select("x.*")
     known = both.groupBy("role", "word").agg(F.count("*").alias("n")).where(F.col("n") >= PARTNERS).select("role", "word")
     rows = known.mapInArrow(bits, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()  # at most BITS / 32 rows

@@ -239,7 +239,6 @@ _WORDS_LABEL = frozenset(w.lower() for w in re.findall(r"[^\W\d_]{2,}", _ID_LABE
 #: Words that are no part of a name found by structure: common words, titles, labels.
 _NO_NAMES = _COMMON | people.SLOT_WORDS | _WORDS_TITLE | _WORDS_LABEL | frozenset(w.lower() for w in re.findall(r"[^\W\d_]{2,}", f"{CALLS}|{THINGS}|{PLACES}")) | frozenset("ok id ni dni ssn address adresse anschrift domicilio dirección delivered handwritten original reference please".split())
 _PLATE = re.compile(r"[A-ZÀ-Þ]\.")
-_TWO_WORDS = re.compile(r"[A-ZÀ-Þ][^\W\d_]+,?[ \n](?:[A-ZÀ-Þ]|[a-z'’]{1,5}[ A-Z])")
 
 
 def detect(text: str | None, learnt: Learnt = people.NONE) -> list[tuple[int, int, str]]:
@@ -304,10 +303,9 @@ def detect(text: str | None, learnt: Learnt = people.NONE) -> list[tuple[int, in
         for a, b in _names(t, found, learnt):
             if free(a, b):
                 found.append((a, b, "name"))
-    if _TWO_WORDS.search(t):
-        for a, b in people.names(t, found, learnt if taught else people.NONE, _NO_NAMES):
-            if free(a, b):
-                found.append((a, b, "name"))
+    for a, b in people.names(t, found, learnt if taught else people.NONE, _NO_NAMES):
+        if free(a, b):
+            found.append((a, b, "name"))
     if _PLATE.search(t):
         for m in _INITIALS.finditer(t):
             if free(*m.span()) and not _FIRM.match(t, m.end()) and m[0].rpartition(" ")[2].lower() not in _COMMON and (m["family"] is None or _plain_family(m["family"])):

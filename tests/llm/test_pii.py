@@ -54,6 +54,12 @@ def test_long_text():
     assert [(text[a:b], k) for a, b, k in pii.detect(text)] == [("Zofia Ardaro", "name")]
 
 
+@pytest.mark.parametrize("text", ["A" * 300_000, "Ab" * 150_000, "A" * 200_000 + " " + "B" * 200_000, "Signed by " + "A" * 300_000, "Aa-" * 100_000, "de la " * 50_000])
+def test_long_words_take_no_longer(spark, text):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert pii.redact(df, "text", learnt=pii.learn(df, "text")).first().masked is not None
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "Call Zofia Ardaro.", "mine"), (1, "Call Zofia Ardaro.", "mine"), (2, None, "mine"), (None, "", None)], "id int, text string, types string")
     rows = pii.redact(df, "text").collect()
