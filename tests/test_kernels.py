@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foliomill.functions import hashing, images, raster
 from foliomill.operators import pages
 from foliomill.operators.pages import Sheet
+from foliomill.plans import rasters
 
 
 def brute(a, kx, ky, f):
@@ -109,6 +110,28 @@ def test_manifests_round_trip():
         images.embed(data, b"x" * (images.MOST + 1))
 
 
+@pytest.mark.parametrize("scan", [b"", b"\0", b"\0\0x", b"\0\1x", b"\xff", b"\xff\xd9x", b"\xff\xda\0\0", b"\xff\xff\0"])
+def test_any_scan_data_makes_a_jpeg(scan):
+    plain, manifest = images.jpeg(scan), b'{"run_id":"abc"}'
+    out = images.embed(plain, manifest)
+    assert images.extract(out) == manifest and out.endswith(plain[2:]) and images.extract(plain) is None
+    head, coded = plain[:-2].split(b"\xff\xda\0\x08\1\1\0\0\x3f\0", 1)
+    assert head == b"\xff\xd8\xff\xe0\0\4ab" and plain.endswith(b"\xff\xd9")
+    assert coded.replace(b"\xff\0", b"\xff") == scan and coded.count(b"\xff") == coded.count(b"\xff\0")  # no marker within
+
+
+def test_manifests_of_pages_of_any_hash(spark, tmp_path):
+    """The hashes of the second and third page begin with 0000 and 0001, that of the fourth with ffd9."""
+    texts = {1: "a", 2: "page 168887", 3: "page 122755", 4: "page 59668", 5: "é" * 200, 6: "", 7: None}
+    begins = [hashlib.sha256(texts[k].encode().ljust(64, b"\xff")).hexdigest()[:4] for k in (2, 3, 4)]
+    assert begins == ["0000", "0001", "ffd9"]
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sealed = {k: f'{{"payload":{{"height":{-(-len(t) // 64)},"run_id":"{k}"}},"payload_sha256":"{"0" * 64}"}}' for k, t in texts.items() if t}
+    for kind, over in (("png", 31), ("jpeg", 19)):
+        got = sorted(map(tuple, rasters.QUERIES[f"{kind}_manifest"](spark, str(tmp_path)).collect()))
+        assert got == [(k, over + len(m), True, True) for k, m in sealed.items()]
+
+
 def test_sealed_manifest(spark):
     text = spark.range(1).select(hashing.sealed(hashing.canonical_json(b=F.lit(1), a=F.lit("é"))).alias("m")).first().m
     payload = '{"a":"é","b":1}'
